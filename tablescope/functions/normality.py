@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+import sys
 from statistics import NormalDist
 
 import numpy as np
+from pyspark import cloudpickle
+
+# the test runs inside Python workers, which need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Polynomial coefficients published by Royston (1995), constant term first.
 LAST_WEIGHT = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)

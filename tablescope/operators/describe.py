@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.functions.tables import small_table
 from tablescope.functions.columns import measure, pick_numeric
 from tablescope.operators.quantiles import exact_quantiles
 
@@ -28,7 +29,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     slots = [f"c_{i}" for i in range(len(names))]
     frame = df.select(*[measure(df, c).alias(s) for c, s in zip(names, slots)])
     if not names:
-        return df.sparkSession.createDataFrame([], SCHEMA)
+        return small_table(df.sparkSession, [], SCHEMA)
     filled = frame.select(
         *[F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in slots], *[F.isnull(s).alias(f"{s}_gap") for s in slots]
     )
@@ -69,7 +70,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
                 round(r["gaps"] / n * 100, 2) if n else None,
             )
         )
-    return df.sparkSession.createDataFrame(rows, SCHEMA)
+    return small_table(df.sparkSession, rows, SCHEMA)
 
 
 def corrected_skewness(g1: float | None, n: int, constant: bool = False) -> float | None:

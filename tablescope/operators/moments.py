@@ -113,10 +113,14 @@ def _shifted_scan(df: DataFrame, values: Mapping[str, Column], shift: np.ndarray
     columns = [F.col(f"c_{i}") for i in range(len(names))]
     row = centred.agg(
         F.count(F.lit(1)).alias("n"),
+        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
         *[F.min(c).alias(f"lo_{i}") for i, c in enumerate(columns)],
         *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(columns)],
         *moment_aggregates(columns),
     ).first()
+    incomplete = [c for i, c in enumerate(names) if row[f"n_{i}"] < row["n"]]
+    if incomplete:
+        raise ValueError(f"columns with missing cells: {incomplete}; fill them first")
     constant = np.array([row[f"lo_{i}"] == row[f"hi_{i}"] for i in range(len(names))], dtype=bool)
     return moments_from_sums(names, row["n"], shift, row, constant)
 

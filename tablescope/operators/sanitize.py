@@ -13,7 +13,8 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.functions.columns import cell, col, is_whole, measure, numeric_columns
+from tablescope.functions.tables import small_table
+from tablescope.functions.columns import cell, col, measure, numeric_columns
 from tablescope.operators.profile import distinct_at_least
 from tablescope.operators.quantiles import exact_quantiles
 from tablescope.operators.statistics import ColumnStatistics, column_statistics
@@ -64,7 +65,7 @@ class SanitizationReport:
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         """One row with every field."""
-        return spark.createDataFrame(
+        return small_table(spark, 
             [
                 (
                     self.n_rows_input,
@@ -88,7 +89,7 @@ class SanitizationReport:
 
     def display_df(self, spark: SparkSession) -> DataFrame:
         """``(metric, value)`` as shown to a reader."""
-        return spark.createDataFrame([(k, str(v)) for k, v in self.to_dict().items()], "metric string, value string")
+        return small_table(spark, [(k, str(v)) for k, v in self.to_dict().items()], "metric string, value string")
 
 
 @dataclass(frozen=True)
@@ -113,8 +114,6 @@ class CleaningPlan:
         """The filled cell: a column keeps its type unless one of its cells had to be filled."""
         if plan.fill is None:
             return cell(df, plan.name)
-        if isinstance(plan.fill, int) and is_whole(df, plan.name):
-            return F.coalesce(col(plan.name).cast("bigint"), F.lit(plan.fill)).cast("double")
         return F.coalesce(measure(df, plan.name), F.lit(float(plan.fill)))
 
     def zscore(self, df: DataFrame, plan: ColumnPlan) -> Column:
@@ -155,21 +154,19 @@ class SanitizedTable:
 
     @cached_property
     def n_rows_output(self) -> int:
-        if not self.plan.columns:
-            return 0
-        return self.df.count() if self.plan.remove_outliers else self.n_rows_input
+        filtered = self.plan.columns and self.plan.remove_outliers
+        return self.df.count() if filtered else self.n_rows_input
 
     @cached_property
     def report(self) -> SanitizationReport:
-        n_rows_output = self.n_rows_output if self.plan.columns else self.n_rows_input
         return SanitizationReport(
             self.n_rows_input,
             self.n_cols_input,
             list(self.dropped_constant_cols),
             list(self.dropped_low_variance_cols),
             self.imputed_values,
-            self.n_rows_input - n_rows_output,
-            n_rows_output,
+            self.n_rows_input - self.n_rows_output,
+            self.n_rows_output,
             len(self.plan.columns),
         )
 
@@ -281,4 +278,4 @@ def check_minimum_requirements(df: DataFrame, min_rows: int = 10, min_cols: int
 
 
 def requirements_df(spark: SparkSession, checks: Sequence[tuple[str, int, int, bool]]) -> DataFrame:
-    return spark.createDataFrame(list(checks), "check string, actual bigint, required bigint, ok boolean")
+    return small_table(spark, list(checks), "check string, actual bigint, required bigint, ok boolean")
