@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,9 @@ MISSING_TEXTS = (
     "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+INFINITE_TEXTS = ("inf", "+inf", "-inf", "Infinity", "+Infinity", "-Infinity")
+BOOLEAN_TEXTS = ("True", "False", "TRUE", "FALSE", "true", "false")
+
 _SNIFFED_LINES = 20
 
 
@@ -80,43 +83,37 @@ def read_csv(
     return texts.select(*[_typed(c, kinds[c]).alias(c) for c in texts.columns])
 
 
-def _present(name: str):
-    return F.when(~F.trim(col(name)).isin(*MISSING_TEXTS), F.trim(col(name)))
+def _present(name: str) -> Column:
+    text = F.trim(col(name))
+    return F.when(~text.isin(*MISSING_TEXTS), text)
 
 
-def _typed(name: str, kind: str):
+def _typed(name: str, kind: str) -> Column:
     if kind == "string":
         return F.when(~col(name).isin(*MISSING_TEXTS), col(name))
-    return F.expr(f"cast(null as {kind})") if kind == "void" else _cast(_present(name), kind)
-
-
-def _cast(text, kind: str):
-    return text.try_cast(kind)
+    return _present(name).try_cast(kind)
 
 
 def infer_types(texts: DataFrame) -> dict[str, str]:
     """Narrowest type that holds every cell of a text column: bigint, double, boolean, else string."""
-    row = texts.agg(
-        *[
-            F.struct(
-                F.count(_present(c)).alias("present"),
-                F.count(F.when(_present(c).rlike(r"^[+-]?\d+$"), _cast(_present(c), "bigint"))).alias("bigint"),
-                F.count(F.when(~_present(c).rlike(r"(?i)[dfx]"), _cast(_present(c), "double"))).alias("number"),
-                F.count(F.when(_present(c).rlike(r"(?i)^[+-]?inf(inity)?$"), F.lit(1))).alias("infinite"),
-                F.count_if(_present(c).isin("True", "False", "TRUE", "FALSE", "true", "false")).alias("boolean"),
-            ).alias(f"c_{i}")
-            for i, c in enumerate(texts.columns)
-        ]
-    ).first()
+    cells = texts.select(*[_present(c).alias(f"c_{i}") for i, c in enumerate(texts.columns)])
+
+    def tests(cell: Column) -> Column:
+        # Spark also reads a trailing d or f as a double; a number here ends in a digit or a point
+        ends_well = F.substring(cell, -1, 1).between("0", "9") | cell.endswith(".")
+        return F.struct(
+            F.count(cell).alias("present"),
+            F.count(cell.try_cast("bigint")).alias("whole"),
+            F.count_if((ends_well & cell.try_cast("double").isNotNull()) | cell.isin(*INFINITE_TEXTS)).alias("real"),
+            F.count_if(cell.isin(*BOOLEAN_TEXTS)).alias("boolean"),
+        )
+
+    row = cells.agg(*[tests(F.col(c)).alias(c) for c in cells.columns]).first()
     kinds = {}
     for i, c in enumerate(texts.columns):
         r = row[f"c_{i}"]
-        if r["present"] == 0:
-            kinds[c] = "double"
-        elif r["bigint"] == r["present"]:
-            kinds[c] = "bigint"
-        elif r["number"] + r["infinite"] >= r["present"]:
-            kinds[c] = "double"
+        if r["present"] == 0 or r["real"] == r["present"]:
+            kinds[c] = "bigint" if 0 < r["present"] == r["whole"] else "double"
         elif r["boolean"] == r["present"]:
             kinds[c] = "boolean"
         else:
