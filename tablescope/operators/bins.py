@@ -20,6 +20,9 @@ from tablescope.functions.columns import at, double_array
 #: pieces of the first scan
 PIECES = 4096
 
+#: smaller values share one place on the logarithmic scale
+_SMALLEST = 1e-300
+
 
 @dataclass(frozen=True)
 class Bin:
@@ -82,6 +85,12 @@ def by_column(results: Sequence[Column]) -> Column:
     return chosen
 
 
+def _log_place(x: float) -> float:
+    """Place on a scale that gives every power of ten the same room, on both sides of zero."""
+    size = max(0.0, math.log(abs(x)) - math.log(_SMALLEST)) if x else 0.0
+    return math.copysign(size, x)
+
+
 def _piece(value: Column, index: Column, brackets: Sequence[Bracket], log_scale: bool) -> Column:
     """Monotone map of a value to its piece number within bracket ``index``; NULL outside the bracket."""
     def constant(numbers: Sequence[float]) -> Column:
@@ -93,10 +102,10 @@ def _piece(value: Column, index: Column, brackets: Sequence[Bracket], log_scale:
     last = constant([b.pieces - 1 for b in brackets])
     pieces = constant([b.pieces for b in brackets])
     if log_scale:
-        units = [max(abs(b.low), abs(b.high)) * 1e-15 for b in brackets]
-        begin = [math.asinh(b.low / u) for b, u in zip(brackets, units)]
-        width = [max(math.asinh(b.high / u) - s, 1e-9) for b, u, s in zip(brackets, units, begin)]
-        share = (F.asinh(value / constant(units)) - constant(begin)) / constant(width)
+        begin = [_log_place(b.low) for b in brackets]
+        width = [max(_log_place(b.high) - s, 1e-9) for b, s in zip(brackets, begin)]
+        size = F.greatest(F.lit(0.0), F.ln(F.abs(value)) - F.lit(math.log(_SMALLEST)))  # ln(0) is NULL
+        share = (F.signum(value) * size - constant(begin)) / constant(width)
     else:
         # halves keep the width finite for brackets that span the whole double range
         width = [b.high / 2 - b.low / 2 for b in brackets]
@@ -127,9 +136,9 @@ def split_brackets(
     for r in sorted(counted, key=lambda r: (r["column"], r["bracket"], r["piece"])):
         bins = found[columns[r["column"]]][r["bracket"]]
         piece = Bin(r["low"], r["high"], r["rows"])
-        if bins and bins[-1].high >= piece.low:  # neighbours touched by rounding count as one piece
-            piece = Bin(min(bins[-1].low, piece.low), max(bins[-1].high, piece.high), bins[-1].rows + piece.rows)
-            bins.pop()
+        while bins and bins[-1].high >= piece.low:  # neighbours touched by rounding count as one piece
+            last = bins.pop()
+            piece = Bin(min(last.low, piece.low), max(last.high, piece.high), last.rows + piece.rows)
         bins.append(piece)
     return found
 

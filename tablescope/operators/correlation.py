@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -132,7 +132,7 @@ def spearman_moments(
     n, ranks = average_ranks(df, {slots[c]: values[c] for c in values}, bounds=slot_bounds, n_rows=n_rows)
     centre = [(n + 1) / 2.0] * len(slots)
     found = cross_moments(ranks, {s: F.col(s) for s in slots.values()}, centre=centre)
-    return Moments(tuple(values), found.n, found.mean, found.cov, found.constant)
+    return replace(found, columns=tuple(values))
 
 
 def correlation(
@@ -157,7 +157,10 @@ def correlation(
     if chosen == "pearson":
         used = moments if moments is not None else cross_moments(df, values)
     else:
-        used = spearman_moments(df, values)
+        bounds = None
+        if moments is not None:
+            bounds = {c: (float(lo), float(hi)) for c, lo, hi in zip(moments.columns, moments.low, moments.high)}
+        used = spearman_moments(df, values, bounds, n_rows)
     matrix = used.correlation()
     return CorrelationResult(
         tuple(values), used.n, matrix, p_value_matrix(matrix, used.n), chosen, tested, all_normal

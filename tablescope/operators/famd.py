@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -111,7 +111,7 @@ def famd(
     shifted = [v - F.lit(float(m)) for v, m in zip(values.values(), centre)]
     levels = count_levels(df, labels, shifted, max_levels)
     matrix = block_matrix(
-        Moments(moments.columns, moments.n, np.zeros(len(reals)), moments.cov, moments.constant),
+        replace(moments, mean=np.zeros(len(reals))),  # level sums are already centred
         levels,
         burt_matrix(df, levels),
     )

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: up to this many columns the products are plain aggregate expressions (one code-generated scan)
@@ -26,7 +26,12 @@ class Moments:
     n: int
     mean: np.ndarray
     cov: np.ndarray
-    constant: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @property
+    def constant(self) -> np.ndarray:
+        return self.low == self.high
 
     @property
     def sd(self) -> np.ndarray:
@@ -45,7 +50,12 @@ class Moments:
     def subset(self, index: Sequence[int]) -> Moments:
         ix = list(index)
         return Moments(
-            tuple(self.columns[i] for i in ix), self.n, self.mean[ix], self.cov[np.ix_(ix, ix)], self.constant[ix]
+            tuple(self.columns[i] for i in ix),
+            self.n,
+            self.mean[ix],
+            self.cov[np.ix_(ix, ix)],
+            self.low[ix],
+            self.high[ix],
         )
 
     def correlation(self) -> np.ndarray:
@@ -57,8 +67,7 @@ class Moments:
 
     def standardized_cov(self) -> np.ndarray:
         """Covariance of the standardised columns; a constant column contributes zeros."""
-        r = np.nan_to_num(self.correlation(), nan=0.0)
-        return r
+        return np.nan_to_num(self.correlation(), nan=0.0)
 
 
 def cross_moments(
@@ -83,46 +92,38 @@ def cross_moments(
     return found
 
 
-def moment_aggregates(values: Sequence[Column]) -> list[Column]:
-    """Aggregates over already centred columns: sums, then products of each pair i <= j."""
-    p = len(values)
-    sums = [F.sum(v).alias(f"s_{i}") for i, v in enumerate(values)]
-    products = [F.sum(values[i] * values[j]).alias(f"s_{i}_{j}") for i in range(p) for j in range(i, p)]
-    return sums + products
-
-
-def moments_from_sums(
-    names: Sequence[str], n: int, shift: np.ndarray, sums: Row | Mapping[str, float], constant: np.ndarray
-) -> Moments:
-    p = len(names)
-    if n == 0:
-        return Moments(tuple(names), 0, np.full(p, np.nan), np.full((p, p), np.nan), constant)
-    delta = np.array([sums[f"s_{i}"] for i in range(p)], dtype=float) / n
-    cov = np.empty((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            cov[i, j] = cov[j, i] = sums[f"s_{i}_{j}"] / n - delta[i] * delta[j]
-    cov[constant, :] = 0.0
-    cov[:, constant] = 0.0
-    return Moments(tuple(names), n, shift + delta, cov, constant)
-
-
 def _shifted_scan(df: DataFrame, values: Mapping[str, Column], shift: np.ndarray) -> Moments:
-    names = list(values)
-    centred = df.select(*[(values[c] - F.lit(float(shift[i]))).alias(f"c_{i}") for i, c in enumerate(names)])
-    columns = [F.col(f"c_{i}") for i in range(len(names))]
-    row = centred.agg(
+    names, p = list(values), len(values)
+    plain = df.select(*[values[c].alias(f"x_{i}") for i, c in enumerate(names)])
+    centred = [F.col(f"x_{i}") - F.lit(float(shift[i])) if shift[i] else F.col(f"x_{i}") for i in range(p)]
+    row = plain.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.min(c).alias(f"lo_{i}") for i, c in enumerate(columns)],
-        *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(columns)],
-        *moment_aggregates(columns),
+        *[F.count(f"x_{i}").alias(f"n_{i}") for i in range(p)],
+        *[F.min(f"x_{i}").alias(f"lo_{i}") for i in range(p)],
+        *[F.max(f"x_{i}").alias(f"hi_{i}") for i in range(p)],
+        *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(centred)],
+        *[F.sum(centred[i] * centred[j]).alias(f"s_{i}_{j}") for i in range(p) for j in range(i, p)],
     ).first()
-    incomplete = [c for i, c in enumerate(names) if row[f"n_{i}"] < row["n"]]
+    n = row["n"]
+    incomplete = [c for i, c in enumerate(names) if row[f"n_{i}"] < n]
     if incomplete:
         raise ValueError(f"columns with missing cells: {incomplete}; fill them first")
-    constant = np.array([row[f"lo_{i}"] == row[f"hi_{i}"] for i in range(len(names))], dtype=bool)
-    return moments_from_sums(names, row["n"], shift, row, constant)
+    if not n:
+        return _no_rows(names)
+    delta = np.array([row[f"s_{i}"] for i in range(p)], dtype=float) / n
+    low = np.array([row[f"lo_{i}"] for i in range(p)], dtype=float)
+    high = np.array([row[f"hi_{i}"] for i in range(p)], dtype=float)
+    cov = np.empty((p, p))
+    for i in range(p):
+        for j in range(i, p):
+            flat = low[i] == high[i] or low[j] == high[j]
+            cov[i, j] = cov[j, i] = 0.0 if flat else row[f"s_{i}_{j}"] / n - delta[i] * delta[j]
+    return Moments(tuple(names), n, shift + delta, cov, low, high)
+
+
+def _no_rows(names: Sequence[str]) -> Moments:
+    nothing = np.full(len(names), np.nan)
+    return Moments(tuple(names), 0, nothing, np.full((len(names), len(names)), np.nan), nothing, nothing)
 
 
 def _wide_moments(df: DataFrame, values: Mapping[str, Column]) -> Moments:
@@ -135,16 +136,15 @@ def _wide_moments(df: DataFrame, values: Mapping[str, Column]) -> Moments:
     s = vectors.agg(
         Summarizer.metrics("count", "mean", "variance", "min", "max").summary(F.col("features")).alias("s")
     ).first()["s"]
-    n = int(s["count"])
-    p = len(names)
+    n, p = int(s["count"]), len(names)
     if n == 0:
-        return Moments(tuple(names), 0, np.full(p, np.nan), np.full((p, p), np.nan), np.zeros(p, dtype=bool))
-    constant = np.asarray(s["min"].toArray() == s["max"].toArray())
-    variance = np.where(constant, 0.0, np.asarray(s["variance"].toArray()) * (n - 1) / n)
-    if n < 2 or constant.all():
-        return Moments(tuple(names), n, np.asarray(s["mean"].toArray()), np.zeros((p, p)), constant)
-    r = np.nan_to_num(np.asarray(Correlation.corr(vectors, "features").first()[0].toArray()), nan=0.0)
-    sd = np.sqrt(variance)
-    cov = r * np.outer(sd, sd)
-    np.fill_diagonal(cov, variance)
-    return Moments(tuple(names), n, np.asarray(s["mean"].toArray()), cov, constant)
+        return _no_rows(names)
+    low, high = np.asarray(s["min"].toArray()), np.asarray(s["max"].toArray())
+    variance = np.where(low == high, 0.0, np.asarray(s["variance"].toArray()) * (n - 1) / n)
+    cov = np.zeros((p, p))
+    if n > 1 and variance.any():
+        r = np.nan_to_num(np.asarray(Correlation.corr(vectors, "features").first()[0].toArray()), nan=0.0)
+        sd = np.sqrt(variance)
+        cov = r * np.outer(sd, sd)
+        np.fill_diagonal(cov, variance)
+    return Moments(tuple(names), n, np.asarray(s["mean"].toArray()), cov, low, high)

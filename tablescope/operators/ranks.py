@@ -13,7 +13,7 @@ from tablescope.operators.bins import balanced_bins, bucket_columns, merged_bins
 
 #: rows one sorting task should hold at least, and the most bins per column
 TASK_ROWS = 50_000
-TASKS = 20_000
+TASKS = 50_000
 
 
 def average_ranks(
@@ -71,18 +71,15 @@ def average_ranks(
         row_number = F.pmod(F.xxhash64(*frame.columns) + F.spark_partition_id(), parts.cast("bigint"))
         frame = frame.withColumn(f"{c}_part", row_number)
         inside = Window.partitionBy(f"{c}_bin", f"{c}_part").orderBy(c)
-        equal = inside.rangeBetween(Window.currentRow, Window.currentRow)
         known = at(double_array([s + (x.rows + 1) / 2.0 if x.single else -1.0 for s, x in zip(below, b)]), index)
         start = at(double_array(below), index)
         frame = (
-            frame.withColumn(f"{c}_rank", F.rank().over(inside))
-            .withColumn(f"{c}_ties", F.count(F.lit(1)).over(equal))
+            frame.withColumn(f"{c}_first", F.rank().over(inside))
+            .withColumn(f"{c}_last", F.count(F.lit(1)).over(inside))  # rows up to and with the equal values
             .withColumn(
                 c,
-                F.when(known > 0, known).otherwise(
-                    start + F.col(f"{c}_rank") + (F.col(f"{c}_ties") - 1) / F.lit(2.0)
-                ),
+                F.when(known > 0, known).otherwise(start + (F.col(f"{c}_first") + F.col(f"{c}_last")) / F.lit(2.0)),
             )
-            .drop(f"{c}_bin", f"{c}_part", f"{c}_rank", f"{c}_ties")
+            .drop(f"{c}_bin", f"{c}_part", f"{c}_first", f"{c}_last")
         )
     return n_rows, frame.select(*[col(k) for k in key], *[F.col(slot[n]).alias(n) for n in names])

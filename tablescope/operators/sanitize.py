@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.functions.tables import small_table
-from tablescope.functions.columns import cell, col, measure, numeric_columns
+from tablescope.functions.columns import cell, col, is_whole, measure, numeric_columns
 from tablescope.operators.profile import distinct_at_least
 from tablescope.operators.quantiles import exact_quantiles
 from tablescope.operators.statistics import ColumnStatistics, column_statistics
@@ -242,10 +242,15 @@ def _near_constant(
     if min_unique_ratio <= 0 or not n_rows:
         return []
     cut = min_unique_ratio * n_rows
-    distinct = distinct_at_least(df, list(statistics), n_rows, (cut,))
-    near = []
+    # whole numbers between two bounds cannot take more values than the bounds allow
+    near = [
+        c
+        for c, s in statistics.items()
+        if is_whole(df, c) and c not in fills and (s.high - s.low + 1) / n_rows < min_unique_ratio
+    ]
+    distinct = distinct_at_least(df, [c for c in statistics if c not in near], n_rows, (cut,))
     # a fill value that no cell holds adds one distinct value; it matters only right at the cut
-    edge = [c for c in fills if distinct[c] / n_rows < min_unique_ratio <= (distinct[c] + 1) / n_rows]
+    edge = [c for c in fills if c in distinct and distinct[c] / n_rows < min_unique_ratio <= (distinct[c] + 1) / n_rows]
     unseen = _unseen_fills(df, {c: fills[c] for c in edge})
     for c, d in distinct.items():
         if (d + (1 if unseen.get(c) else 0)) / n_rows < min_unique_ratio:
