@@ -305,7 +305,7 @@ def method_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def describe_sql(table: str, columns: tuple[str, ...]) -> str:
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS variable, count(*) AS count, {r('avg(x)', 'mean', 4)}, {r('stddev_samp(x)', 'std', 4)},
+        f"""SELECT '{c}' AS variable, count(*) AS count, {r('avg(x)', 'mean', 6)}, {r('stddev_samp(x)', 'std', 4)},
         {r('min(x)', 'min', 4)}, {r('quantile_cont(x, 0.25)', 'q25', 4)}, {r('quantile_cont(x, 0.5)', 'q50', 4)},
         {r('quantile_cont(x, 0.75)', 'q75', 4)}, {r('max(x)', 'max', 4)}, {r('skewness(x)', 'skewness', 4)},
         {r('kurtosis(x)', 'kurtosis', 4)}, {r('avg(CASE WHEN gap THEN 1.0 ELSE 0.0 END) * 100', 'missing_pct', 2)}
@@ -319,12 +319,12 @@ _GAPPY_NAMES = ("quantity", "price", "tax", "discount")
 
 @query(describe_sql(GAPPY_LINES, _GAPPY_NAMES))
 def describe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(TableAnalysis(derived(spark, sf_dir, GAPPY_LINES), _GAPPY_NAMES).describe(), 4)
+    return rounded(TableAnalysis(derived(spark, sf_dir, GAPPY_LINES), _GAPPY_NAMES).describe(), 4, mean=6)
 
 
 @query(describe_sql("SELECT * FROM events", ("event_id", "user_id", "value")))
 def describe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(TableAnalysis(load(spark, sf_dir, "events")).describe(), 4)
+    return rounded(TableAnalysis(load(spark, sf_dir, "events")).describe(), 4, mean=6)
 
 
 LABELLED = "SELECT d.doc_id, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
@@ -333,7 +333,7 @@ LABELLED = "SELECT d.doc_id, n_chars, quality, toxic FROM documents d LEFT JOIN
 @query(describe_sql(LABELLED, ("n_chars", "quality", "toxic")))
 def describe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without a label have genuinely missing cells."""
-    return rounded(TableAnalysis(derived(spark, sf_dir, LABELLED), key=["doc_id"]).describe(), 4)
+    return rounded(TableAnalysis(derived(spark, sf_dir, LABELLED), key=["doc_id"]).describe(), 4, mean=6)
 
 
 _INFINITE = """

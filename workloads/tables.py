@@ -77,7 +77,7 @@ def table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SEGMENT_REVENUE = """
 SELECT c_mktsegment, o_orderpriority, count(*) AS n_lines,
-       CAST(round(sum(l_extendedprice * (1 - l_discount)), 2) AS DOUBLE) AS revenue
+       round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 WHERE l_returnflag <> 'R'
 GROUP BY c_mktsegment, o_orderpriority
