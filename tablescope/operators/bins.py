@@ -20,6 +20,9 @@ from tablescope.functions.columns import at, double_array
 #: pieces of the first scan
 PIECES = 4096
 
+#: up to this many brackets per column are compared one by one
+FEW = 8
+
 #: smaller values share one place on the logarithmic scale
 _SMALLEST = 1e-300
 
@@ -62,17 +65,9 @@ def bucket_columns(df: DataFrame, splits: Mapping[str, Sequence[float]]) -> Data
     )
 
 
-def stacked(df: DataFrame, lows: Mapping[str, Sequence[float]]) -> DataFrame:
-    """``(column, value, bracket)``: one row per cell, with the bracket its value falls into."""
-    columns = list(lows)
-    values = F.array(*[F.col(c) for c in columns])
-    if all(len(lows[c]) == 1 for c in columns):
-        return df.select(F.posexplode(values).alias("column", "value")).withColumn("bracket", F.lit(0))
-    bucketed = bucket_columns(df.select(*columns), lows)
-    indexes = F.array(*[F.col(f"{c}_bin") for c in columns])
-    return bucketed.select(indexes.alias("indexes"), F.posexplode(values).alias("column", "value")).select(
-        "column", "value", at(F.col("indexes"), F.col("column")).alias("bracket")
-    )
+def stacked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, value)``: one row per cell, columns by number."""
+    return df.select(F.posexplode(F.array(*[F.col(c) for c in columns])).alias("column", "value"))
 
 
 def by_column(results: Sequence[Column]) -> Column:
@@ -85,56 +80,73 @@ def by_column(results: Sequence[Column]) -> Column:
     return chosen
 
 
+def first_match(conditions: Sequence[Column], results: Sequence[Column]) -> Column:
+    """NULL where no condition holds."""
+    chosen = F.when(conditions[0], results[0])
+    for condition, result in zip(conditions[1:], results[1:]):
+        chosen = chosen.when(condition, result)
+    return chosen
+
+
 def _log_place(x: float) -> float:
     """Place on a scale that gives every power of ten the same room, on both sides of zero."""
     size = max(0.0, math.log(abs(x)) - math.log(_SMALLEST)) if x else 0.0
     return math.copysign(size, x)
 
 
-def _piece(value: Column, index: Column, brackets: Sequence[Bracket], log_scale: bool) -> Column:
-    """Monotone map of a value to its piece number within bracket ``index``; NULL outside the bracket."""
-    def constant(numbers: Sequence[float]) -> Column:
-        if len(numbers) == 1:
-            return F.lit(float(numbers[0]))
-        return at(double_array(numbers), index)
-
-    low, high = constant([b.low for b in brackets]), constant([b.high for b in brackets])
-    last = constant([b.pieces - 1 for b in brackets])
-    pieces = constant([b.pieces for b in brackets])
-    if log_scale:
-        begin = [_log_place(b.low) for b in brackets]
-        width = [max(_log_place(b.high) - s, 1e-9) for b, s in zip(brackets, begin)]
-        size = F.greatest(F.lit(0.0), F.ln(F.abs(value)) - F.lit(math.log(_SMALLEST)))  # ln(0) is NULL
-        share = (F.signum(value) * size - constant(begin)) / constant(width)
-    else:
+def _many_decades(b: Bracket) -> bool:
+    small, large = sorted((abs(b.low), abs(b.high)))
+    return b.low <= 0 <= b.high or large > 16 * small
+
+
+class _Ruler:
+    """The monotone map of a value to its piece, for one bracket or, with ``index``, for many at once.
+
+    Brackets spanning many decades mix an even and a logarithmic scale: half of the resolution of either is
+    enough to narrow down both bell-shaped and heavy-tailed columns at every scan.
+    """
+
+    def __init__(self, brackets: Sequence[Bracket], index: Column | None = None) -> None:
+        self.brackets, self.index = brackets, index
+
+    def number(self, values: Sequence[float]) -> Column:
+        return F.lit(float(values[0])) if self.index is None else at(double_array(values), self.index)
+
+    def inside(self, value: Column) -> Column:
+        low, high = self.number([b.low for b in self.brackets]), self.number([b.high for b in self.brackets])
+        return (value >= low) & (value <= high)
+
+    def piece(self, value: Column) -> Column:
+        bs = self.brackets
         # halves keep the width finite for brackets that span the whole double range
-        width = [b.high / 2 - b.low / 2 for b in brackets]
-        factor = 0.5 if any(math.isinf(b.high - b.low) for b in brackets) else 1.0
-        if factor == 1.0:
-            width = [b.high - b.low for b in brackets]
-        share = (value * factor - low * factor) / constant(width)
-    number = F.greatest(F.lit(0.0), F.least(F.floor(share * pieces).cast("double"), last)).cast("int")
-    return F.when((value >= low) & (value <= high), number)
-
-
-def split_brackets(
-    df: DataFrame, brackets: Mapping[str, Sequence[Bracket]], log_scale: Mapping[str, bool]
-) -> dict[str, list[list[Bin]]]:
+        factor = 0.5 if any(math.isinf(b.high - b.low) for b in bs) else 1.0
+        width = [b.high * factor - b.low * factor for b in bs]
+        begin = [b.low * factor for b in bs]
+        scaled = value * factor if factor != 1.0 else value
+        share = (scaled - self.number(begin)) / self.number(width)
+        if any(_many_decades(b) for b in bs):
+            start = [_log_place(b.low) for b in bs]
+            length = [max(_log_place(b.high) - s, 1e-9) for b, s in zip(bs, start)]
+            size = F.greatest(F.lit(0.0), F.ln(F.abs(value)) - F.lit(math.log(_SMALLEST)))  # ln(0) is NULL
+            share = (share + (F.signum(value) * size - self.number(start)) / self.number(length)) / F.lit(2.0)
+        last = self.number([b.pieces - 1 for b in bs])
+        number = F.floor(share * self.number([b.pieces for b in bs])).cast("double")
+        return F.greatest(F.lit(0.0), F.least(number, last)).cast("int")
+
+
+def split_brackets(df: DataFrame, brackets: Mapping[str, Sequence[Bracket]]) -> dict[str, list[list[Bin]]]:
     """One scan: the occupied pieces of each bracket (brackets of a column are disjoint and ascending)."""
     columns = list(brackets)
-    frame = stacked(df, {c: [b.low for b in brackets[c]] for c in columns})
-    value, index = F.col("value"), F.col("bracket")
-    piece = by_column([_piece(value, index, brackets[c], log_scale[c]) for c in columns])
+    code = _few_codes(df, brackets) if max(map(len, brackets.values())) <= FEW else _many_codes(df, brackets)
     counted = (
-        frame.withColumn("piece", piece)
-        .where(F.col("piece").isNotNull())
-        .groupBy("column", "bracket", "piece")
+        code.where(F.col("code").isNotNull())
+        .groupBy("column", "code")
         .agg(F.count(F.lit(1)).alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"))
         .collect()
     )
     found: dict[str, list[list[Bin]]] = {c: [[] for _ in brackets[c]] for c in columns}
-    for r in sorted(counted, key=lambda r: (r["column"], r["bracket"], r["piece"])):
-        bins = found[columns[r["column"]]][r["bracket"]]
+    for r in sorted(counted, key=lambda r: (r["column"], r["code"])):
+        bins = found[columns[r["column"]]][r["code"] // PIECES]
         piece = Bin(r["low"], r["high"], r["rows"])
         while bins and bins[-1].high >= piece.low:  # neighbours touched by rounding count as one piece
             last = bins.pop()
@@ -143,27 +155,47 @@ def split_brackets(
     return found
 
 
+def _few_codes(df: DataFrame, brackets: Mapping[str, Sequence[Bracket]]) -> DataFrame:
+    """Bracket and piece as one number, brackets tried one after the other."""
+    value = F.col("value")
+    codes = []
+    for bs in brackets.values():
+        rulers = [_Ruler([b]) for b in bs]
+        codes.append(
+            first_match([r.inside(value) for r in rulers], [r.piece(value) + i * PIECES for i, r in enumerate(rulers)])
+        )
+    return stacked(df, list(brackets)).withColumn("code", by_column(codes))
+
+
+def _many_codes(df: DataFrame, brackets: Mapping[str, Sequence[Bracket]]) -> DataFrame:
+    """The same with the bracket found by binary search."""
+    columns = list(brackets)
+    bucketed = bucket_columns(df.select(*columns), {c: [b.low for b in brackets[c]] for c in columns})
+    cells = bucketed.select(
+        F.array(*[F.col(f"{c}_bin") for c in columns]).alias("indexes"),
+        F.posexplode(F.array(*[F.col(c) for c in columns])).alias("column", "value"),
+    ).select("column", "value", at(F.col("indexes"), F.col("column")).alias("bracket"))
+    value, index = F.col("value"), F.col("bracket")
+    rulers = [_Ruler(bs, index) for bs in brackets.values()]
+    codes = [F.when(r.inside(value), index * PIECES + r.piece(value)) for r in rulers]
+    return cells.withColumn("code", by_column(codes))
+
+
 def balanced_bins(
     df: DataFrame, bounds: Mapping[str, tuple[float, float]], most_rows: int, pieces: int = PIECES
 ) -> dict[str, list[Bin]]:
     """Ascending bins of each column; a bin with more than ``most_rows`` rows holds one single value."""
     done: dict[str, list[Bin]] = {c: [] for c in bounds}
-    open_brackets = {c: [Bracket(lo, hi, pieces)] for c, (lo, hi) in bounds.items()}
-    log_scale = {c: False for c in bounds}
-    parent_rows: dict[str, int] = {}
-    while open_brackets:
-        found = split_brackets(df, open_brackets, log_scale)
-        open_brackets = {}
+    brackets = {c: [Bracket(lo, hi, pieces)] for c, (lo, hi) in bounds.items()}
+    while brackets:
+        found = split_brackets(df, brackets)
+        brackets = {}
         for c, groups in found.items():
             bins = [b for group in groups for b in group]
             heavy = [b for b in bins if b.rows > most_rows and not b.single]
             done[c].extend(b for b in bins if b.rows <= most_rows or b.single)
             if heavy:
-                heaviest = max(b.rows for b in heavy)
-                if heaviest > parent_rows.get(c, heaviest * 8) / 8:
-                    log_scale[c] = not log_scale[c]
-                parent_rows[c] = heaviest
-                open_brackets[c] = [
+                brackets[c] = [
                     Bracket(b.low, b.high, max(16, min(pieces, 4 * math.ceil(b.rows / most_rows)))) for b in heavy
                 ]
     return {c: sorted(bins, key=lambda b: b.low) for c, bins in done.items()}

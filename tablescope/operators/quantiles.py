@@ -9,8 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.columns import at, double_array
-from tablescope.operators.bins import Bracket, by_column, split_brackets, stacked
+from tablescope.operators.bins import Bracket, by_column, first_match, split_brackets, stacked
 
 #: rows that may be left in the brackets when their distinct values are fetched
 FETCH_ROWS = 100_000
@@ -66,7 +65,6 @@ def order_statistics(
     for c, wanted in ranks.items():
         n, low, high = known[c]
         place[c] = {k: _Range(low, high, n, 0) for k in wanted}
-    log_scale = {c: False for c in ranks}
     while True:
         for c, targets in place.items():
             for k in [k for k, r in targets.items() if r.low == r.high]:
@@ -81,19 +79,15 @@ def order_statistics(
                 for k, r in targets.items():
                     value[c][k] = _nth(counts[c][ranges[c].index(r)], k - r.below)
             return value
-        found = split_brackets(df, {c: [Bracket(r.low, r.high) for r in rs] for c, rs in ranges.items()}, log_scale)
+        found = split_brackets(df, {c: [Bracket(r.low, r.high) for r in rs] for c, rs in ranges.items()})
         for c, targets in place.items():
-            slow = False
             for k, r in list(targets.items()):
                 below = r.below
                 for b in found[c][ranges[c].index(r)]:
                     if k < below + b.rows:
                         targets[k] = _Range(b.low, b.high, b.rows, below)
-                        slow |= b.rows * 8 > r.rows
                         break
                     below += b.rows
-            if slow:
-                log_scale[c] = not log_scale[c]
 
 
 def _nth(counts: Sequence[tuple[float, int]], k: int) -> float:
@@ -107,22 +101,20 @@ def _nth(counts: Sequence[tuple[float, int]], k: int) -> float:
 def _fetch(df: DataFrame, ranges: Mapping[str, Sequence[_Range]]) -> dict[str, list[list[tuple[float, int]]]]:
     """Distinct values with counts inside the ranges: at most ``FETCH_ROWS`` entries by construction."""
     columns = list(ranges)
-    value, index = F.col("value"), F.col("bracket")
-    inside = []
-    for c in columns:
-        low, high = (
-            F.lit(ends[0]) if len(ends) == 1 else at(double_array(ends), index)
-            for ends in ([r.low for r in ranges[c]], [r.high for r in ranges[c]])
-        )
-        inside.append((value >= low) & (value <= high))
+    value = F.col("value")
+    found = [
+        first_match([value.between(r.low, r.high) for r in rs], [F.lit(i) for i in range(len(rs))])
+        for rs in ranges.values()
+    ]
     counted = (
-        stacked(df, {c: [r.low for r in ranges[c]] for c in columns})
-        .where(by_column(inside))
-        .groupBy("column", "bracket", "value")
+        stacked(df, columns)
+        .withColumn("range", by_column(found))
+        .where(F.col("range").isNotNull())
+        .groupBy("column", "range", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
         .collect()
     )
     result: dict[str, list[list[tuple[float, int]]]] = {c: [[] for _ in ranges[c]] for c in columns}
     for r in sorted(counted, key=lambda r: r["value"]):
-        result[columns[r["column"]]][r["bracket"]].append((r["value"], r["rows"]))
+        result[columns[r["column"]]][r["range"]].append((r["value"], r["rows"]))
     return result

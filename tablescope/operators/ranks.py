@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from tablescope.functions.columns import at, col, double_array
 from tablescope.operators.bins import balanced_bins, bucket_columns, merged_bins
 
-#: rows one sorting task should hold at least, and the most bins per column
-TASK_ROWS = 50_000
-TASKS = 50_000
+#: rows of a bin: few enough to be ranked in memory; on huge tables few enough bins for the driver
+SMALL_BIN, LARGE_BIN, BINS = 4_096, 20_000_000, 100_000
+
+
+def bin_rows(n_rows: int) -> int:
+    return max(SMALL_BIN, min(n_rows // 512, LARGE_BIN), n_rows // BINS)
 
 
 def average_ranks(
@@ -43,7 +46,7 @@ def average_ranks(
         bounds = {n: (row[f"lo{slot[n]}"], row[f"hi{slot[n]}"]) for n in names}
     if not n_rows:
         return 0, frame.select(*[col(k) for k in key], *[F.col(slot[n]).alias(n) for n in names])
-    limit = task_rows or max(TASK_ROWS, n_rows // TASKS)
+    limit = task_rows or bin_rows(n_rows)
     # a constant column is its own single bin
     ends = {slot[n]: bounds[n] for n in names if bounds[n][0] < bounds[n][1]}
     bins = {c: merged_bins(b, limit) for c, b in balanced_bins(frame, ends, limit).items()} if ends else {}
@@ -66,20 +69,17 @@ def average_ranks(
         below = list(accumulate((x.rows for x in b), initial=0))[:-1]
         frame = bucket_columns(frame, {c: [x.low for x in b]})
         index = F.col(f"{c}_bin")
-        # ranks known beforehand need no ordering: those rows only travel, so they are dealt out evenly
-        parts = at(double_array([max(1, -(-x.rows // limit)) if x.single else 1 for x in b]), index)
-        row_number = F.pmod(F.xxhash64(*frame.columns) + F.spark_partition_id(), parts.cast("bigint"))
-        frame = frame.withColumn(f"{c}_part", row_number)
-        inside = Window.partitionBy(f"{c}_bin", f"{c}_part").orderBy(c)
+        parts = [max(1, -(-x.rows // limit)) if x.single else 1 for x in b]
+        keys = [f"{c}_bin"]
+        if max(parts) > 1:
+            # ranks known beforehand need no ordering: those rows only travel, so they are dealt out evenly
+            spread = F.xxhash64(*frame.columns) + F.spark_partition_id()
+            frame = frame.withColumn(f"{c}_part", F.pmod(spread, at(double_array(parts), index).cast("bigint")))
+            keys.append(f"{c}_part")
+        inside = Window.partitionBy(*keys).orderBy(c)
         known = at(double_array([s + (x.rows + 1) / 2.0 if x.single else -1.0 for s, x in zip(below, b)]), index)
         start = at(double_array(below), index)
-        frame = (
-            frame.withColumn(f"{c}_first", F.rank().over(inside))
-            .withColumn(f"{c}_last", F.count(F.lit(1)).over(inside))  # rows up to and with the equal values
-            .withColumn(
-                c,
-                F.when(known > 0, known).otherwise(start + (F.col(f"{c}_first") + F.col(f"{c}_last")) / F.lit(2.0)),
-            )
-            .drop(f"{c}_bin", f"{c}_part", f"{c}_first", f"{c}_last")
-        )
+        # first and last place among the equal values; their mean is the average rank
+        places = F.rank().over(inside) + F.count(F.lit(1)).over(inside)
+        frame = frame.withColumn(c, F.when(known > 0, known).otherwise(start + places / F.lit(2.0))).drop(*keys)
     return n_rows, frame.select(*[col(k) for k in key], *[F.col(slot[n]).alias(n) for n in names])
