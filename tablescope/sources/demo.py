@@ -11,8 +11,11 @@ MISSING_SHARE = 0.05
 OUTLIERS = {10: ("productivite_score", 200.0), 50: ("salaire_k_eur", 5.0), 99: ("nb_projets_completes", 50.0)}
 
 
-def demo_table(spark: SparkSession, n_rows: int = 200, seed: int = 42) -> DataFrame:
-    """``row_id`` and eight columns; about 5 % gaps in three of them, and three planted outliers."""
+def demo_table(spark: SparkSession, n_rows: int = 200, seed: int = 42, partitions: int | None = None) -> DataFrame:
+    """``row_id`` and eight columns; about 5 % gaps in three of them, and three planted outliers.
+
+    Values depend on seed and partitioning: fix ``partitions`` for the same table on every cluster.
+    """
     def noise(stream: int, size: float = 1.0) -> Column:
         return F.randn(seed + stream) * size
 
@@ -22,7 +25,7 @@ def demo_table(spark: SparkSession, n_rows: int = 200, seed: int = 42) -> DataFr
     def gappy(value: Column, stream: int) -> Column:
         return F.when(F.rand(seed + stream) >= MISSING_SHARE, value)
 
-    hidden = spark.range(n_rows).select(
+    hidden = spark.range(0, n_rows, 1, partitions).select(
         F.col("id").alias("row_id"), noise(1).alias("performance"), noise(2).alias("wellbeing")
     )
     perf, well = F.col("performance"), F.col("wellbeing")
