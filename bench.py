@@ -1,7 +1,7 @@
 """Times the headline workloads and prints one JSON line.
 
 BENCH_SF_DIR: folder of tables (default /root/testdata/sf0.1); BENCH_CPUS: local cores (default 8);
-BENCH_RUNS: timed runs after one warm-up, of which the median counts (default 3).
+BENCH_RUNS: timed runs after one warm-up, of which the median counts (default 2).
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tablescope-bench")

@@ -45,11 +45,12 @@ class ValueSummary:
     mode: float | int | None
 
 
-def value_summary(df: DataFrame, names: Sequence[str]) -> dict[str, ValueSummary]:
-    """Rows, missing cells, exact distinct values and mode (smallest value on ties) per column."""
+def value_summary(df: DataFrame, names: Sequence[str], modes: bool = True) -> dict[str, ValueSummary]:
+    """Rows, missing cells, exact distinct values and, if asked, mode (smallest value on ties) per column."""
     if not names:
         return {}
     present = F.col("whole").isNotNull() | F.col("real").isNotNull()
+    top = F.min(F.when(present, F.struct(-F.col("rows"), "whole", "real"))) if modes else F.lit(None)
     found = (
         value_counts(df, names)
         .groupBy("position")
@@ -57,7 +58,7 @@ def value_summary(df: DataFrame, names: Sequence[str]) -> dict[str, ValueSummary
             F.sum("rows").alias("n_rows"),
             F.sum(F.when(present, 0).otherwise(F.col("rows"))).alias("n_missing"),
             F.count_if(present).alias("n_distinct"),
-            F.min(F.when(present, F.struct(-F.col("rows"), "whole", "real"))).alias("top"),
+            top.alias("top"),
         )
         .collect()
     )
