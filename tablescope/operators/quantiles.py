@@ -95,7 +95,7 @@ def _nth(counts: Sequence[tuple[float, int]], k: int) -> float:
         if k < rows:
             return v
         k -= rows
-    raise RuntimeError("the table changed between scans")
+    raise RuntimeError("the table changed between scans; write it once and analyse the written table")
 
 
 def _fetch(df: DataFrame, ranges: Mapping[str, Sequence[_Range]]) -> dict[str, list[list[tuple[float, int]]]]:

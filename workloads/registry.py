@@ -78,9 +78,11 @@ SELECT l_orderkey, l_linenumber, l_quantity AS quantity, l_extendedprice AS pric
 FROM lineitem
 """
 
+# sums are rounded to the decimals they have: equal sums stay equal whatever the order of addition
 ORDER_PROFILE = """
 SELECT l_orderkey, CAST(count(*) AS DOUBLE) AS n_lines, sum(l_quantity) AS total_quantity,
-       sum(l_extendedprice) AS total_price, sum(l_discount) AS total_discount, sum(l_tax) AS total_tax
+       round(sum(l_extendedprice), 2) AS total_price, round(sum(l_discount), 2) AS total_discount,
+       round(sum(l_tax), 2) AS total_tax
 FROM lineitem GROUP BY l_orderkey
 """
 
