@@ -8,8 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import hamming_trees, level_packing
-from tablescope.llm.shared import written
+from tablescope.llm import crf_pii, hamming_trees, level_packing, pigeonhole, toxicity_chain
+from tablescope.llm.shared import import_path, written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain calls toxic go."""
+    chain = toxicity_chain.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity_chain.without_toxic(docs, chain)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,13 +23,26 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return hamming_trees.one_of_each(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return pigeonhole.without_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay, their personal data replaced by its kind."""
+    return crf_pii.masked(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents with their windows."""
     return level_packing.pack(docs)
 
 
 STAGES = [
+    ("toxicity", toxicity),
     ("simhash_near_dedup", near_copies),
+    ("benchmark_decontamination", decontamination),
+    ("personal_data", personal_data),
     ("packing", packing),
 ]
 
@@ -32,6 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import_path(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)

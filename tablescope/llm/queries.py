@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import hamming_trees, level_packing, separator_scan
+from tablescope.llm import (
+    capture_index,
+    causal_lm,
+    crf_pii,
+    divergence_rules,
+    hamming_trees,
+    level_packing,
+    pigeonhole,
+    separator_scan,
+    site_quality,
+    toxicity_chain,
+)
+from tablescope.llm.shared import import_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,20 +31,59 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    import_path(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source is a document's host, its language the path below."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return site_quality.posterior(docs, labels, F.col("source"), F.col("lang"))
+
+
+@query
+def op2_causal_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return causal_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pigeonhole.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op4_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hamming_trees.document_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hamming_trees.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+@query
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_chain.score(docs, toxicity_chain.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op6_level_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return level_packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_index.archive_and_read_back(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.count_tokens(table(spark, sf_dir, "documents"))

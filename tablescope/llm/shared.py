@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
@@ -29,6 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def import_path(spark: SparkSession) -> None:
+    """Let Python workers of this machine import the package wherever the session was started."""
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *known]))
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -47,7 +47,7 @@ class Words:
         found = lists.flatten().dictionary_encode()
         self.distinct: list[str] = found.dictionary.to_pylist()
         index = found.indices.to_numpy()
-        bounds = offsets - offsets[0]
+        bounds = (offsets - offsets[0]).astype(np.int64)
         if "" in self.distinct:  # blanks at either end of a text
             keep = index != self.distinct.index("")
             bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
