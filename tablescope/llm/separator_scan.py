@@ -160,4 +160,5 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
     spark = docs.sparkSession
     files = written(write_flat(docs, new_folder(spark, "flat"), key, text, vocabulary), "flat-files")
     found = document_lengths(files)
-    return files.join(found, ["file", "ordinal"], "left").select("doc_id", "n_tokens")
+    # the files compress so well that Spark would take them for a small table
+    return files.join(found.hint("merge"), ["file", "ordinal"], "left").select("doc_id", "n_tokens")
