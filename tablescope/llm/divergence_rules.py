@@ -37,7 +37,7 @@ CLASSES = ("lower", "upper", "digit", "blank", "symbol", "rest")
 
 LEAST_WORDS = 50
 LEAST_CHARS, LEAST_COMPARED = 200, 100
-MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.35
+MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.22, 0.33
 
 
 def common_words() -> Column:
@@ -60,8 +60,11 @@ def text_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
         F.size("words") >= 4,
         F.sort_array(
             F.transform(
-                F.sequence(F.lit(1), F.size("words") - 2),
-                lambda i: F.struct(F.concat_ws(" ", F.slice("words", i, 3)).alias("w"), i.alias("i")),
+                F.sequence(F.lit(0), F.size("words") - 3),
+                # element by element: slice() would copy the whole array for every window
+                lambda i: F.struct(
+                    F.concat_ws(" ", *(F.get("words", i + k) for k in range(3))).alias("w"), i.alias("i")
+                ),
             )
         ),
     ).otherwise(F.expr("CAST(array() AS array<struct<w:string,i:int>>)"))
