@@ -5,9 +5,10 @@ of all categories before it. While training, those are out-of-fold predictions:
 seen the document, so later models learn how far earlier ones can be trusted.
 
 Categories, in the chain's order: ``low_quality`` (quality is 0), ``toxic``, and ``severe`` (toxic, and at least
-``SEVERE_TERMS`` occurrences of the terms that mark toxic documents). The models are fitted on about ``sample_rows``
-labelled documents, chosen by a hash of the key; features are the ``n_terms`` terms that tell toxic documents apart best
-and style features. Every document is scored whole.
+``SEVERE_TERMS`` occurrences of strong terms). The models are fitted on about ``sample_rows`` labelled documents, chosen
+by a hash of the key. Features are the ``n_terms`` terms that tell toxic documents apart best, all strong ones among
+them together (shares ``STRONG`` standard deviations apart and more), and style features. Every document is scored
+whole.
 
 NULL texts count as empty. Labels with NULL keys or categories are not used; of repeated labels the lowest quality and
 the largest toxicity hold.
@@ -36,21 +37,24 @@ SAMPLE_ROWS = 20_000
 N_TERMS = 150
 FOLDS = 5
 SEVERE_TERMS = 4
+STRONG = 1.0
 THRESHOLD = 0.5
 
 
 @dataclass
 class Chain:
-    """Weights of each category; ``terms`` gives each term its place among the features."""
+    """Weights of each category; ``terms`` gives each term its place among the features, the strong ones first."""
 
     terms: dict[str, int] = field(default_factory=dict)
+    n_strong: int = 0
     weights: list[np.ndarray] = field(default_factory=list)
 
     def features(self, texts: pa.Array) -> np.ndarray:
         lowered = logistic.lower(texts)
         words = Words(lowered)
         counts = logistic.counts_of(self.terms, lowered, words, len(self.terms))
-        return np.concatenate([counts, logistic.style(texts, words)], axis=1)
+        strong = np.log1p(np.expm1(counts[:, : self.n_strong]).sum(axis=1, keepdims=True))
+        return np.concatenate([strong, counts, logistic.style(texts, words)], axis=1)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), 0))
@@ -74,8 +78,8 @@ def fit_chain(x: np.ndarray, y: np.ndarray, folds: np.ndarray) -> tuple[list[np.
     return weights, earlier
 
 
-def marking_terms(sample: DataFrame, n_terms: int) -> list[str]:
-    """Terms whose share among toxic documents exceeds that among the others most, in standard errors."""
+def marking_terms(sample: DataFrame, n_terms: int) -> list[tuple[str, float]]:
+    """Terms whose share among toxic documents exceeds that among the others most, in standard deviations."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, toxic = Counter(), Counter()
         for batch in batches:
@@ -108,7 +112,7 @@ def marking_terms(sample: DataFrame, n_terms: int) -> list[str]:
         .where("n >= 3")
         .select("term", (excess / F.sqrt(p * (1 - p) + F.lit(1e-4))).alias("z"))
     )
-    return [r.term for r in scored.orderBy(F.desc("z"), "term").limit(n_terms).collect()]
+    return [(r.term, r.z) for r in scored.orderBy(F.desc("z"), "term").limit(n_terms).collect()]
 
 
 def train(
@@ -117,8 +121,9 @@ def train(
 ) -> Chain:
     wanted = {"low": 1 - F.min("quality"), "toxic": F.max("toxic")}
     sample = labelled(docs, labels, key, text, wanted, sample_rows)
-    chain = Chain({t: i for i, t in enumerate(marking_terms(sample, n_terms))})
-    n_terms, width = len(chain.terms), len(chain.terms) + len(logistic.STYLE)
+    found = marking_terms(sample, n_terms)
+    chain = Chain({t: i for i, (t, _) in enumerate(found)}, sum(z >= STRONG for _, z in found))
+    width = 1 + len(chain.terms) + len(logistic.STYLE)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -134,9 +139,8 @@ def train(
     got = shape.orderBy("id").collect()
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), dtype="<f4").reshape(len(got), width).astype(float)
     toxic = np.array([r.toxic for r in got])
-    # the first terms mark toxic documents most; their occurrences tell how severe one is
-    strong = np.expm1(x[:, : min(10, n_terms)]).sum(axis=1) if n_terms else np.zeros(len(got))
-    y = np.stack([np.array([r.low for r in got]), toxic, toxic * (strong >= SEVERE_TERMS)], axis=1)
+    severe = toxic * (np.expm1(x[:, 0]) > SEVERE_TERMS - 0.5)
+    y = np.stack([np.array([r.low for r in got]), toxic, severe], axis=1)
     chain.weights, _ = fit_chain(x, y.reshape(len(got), len(CATEGORIES)), np.array([r.fold for r in got]))
     return chain
 
