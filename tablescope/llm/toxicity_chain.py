@@ -43,10 +43,16 @@ THRESHOLD = 0.5
 
 @dataclass
 class Chain:
-    """Weights of each category; ``terms`` gives each term its place among the features, the strong ones first."""
+    """Weights of each category; ``terms`` gives each term its place among the features, the strong ones first.
+
+    ``low`` and ``high`` bound the features to what training has seen, so that a very long text is judged as the longest
+    known one.
+    """
 
     terms: dict[str, int] = field(default_factory=dict)
     n_strong: int = 0
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
     weights: list[np.ndarray] = field(default_factory=list)
 
     def features(self, texts: pa.Array) -> np.ndarray:
@@ -54,7 +60,8 @@ class Chain:
         words = Words(lowered)
         counts = logistic.counts_of(self.terms, lowered, words, len(self.terms))
         strong = np.log1p(np.expm1(counts[:, : self.n_strong]).sum(axis=1, keepdims=True))
-        return np.concatenate([strong, counts, logistic.style(texts, words)], axis=1)
+        x = np.concatenate([strong, counts, logistic.style(texts, words)], axis=1)
+        return x if self.low is None else np.clip(x, self.low, self.high)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), 0))
@@ -138,6 +145,8 @@ def train(
     shape = shape.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FOLDS)))
     got = shape.orderBy("id").collect()
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), dtype="<f4").reshape(len(got), width).astype(float)
+    if len(x):
+        chain.low, chain.high = x.min(axis=0), x.max(axis=0)
     toxic = np.array([r.toxic for r in got])
     severe = toxic * (np.expm1(x[:, 0]) > SEVERE_TERMS - 0.5)
     y = np.stack([np.array([r.low for r in got]), toxic, severe], axis=1)
