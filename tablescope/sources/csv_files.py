@@ -24,7 +24,8 @@ REAL_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INFINITE_TEXTS = ("inf", "+inf", "-inf", "Infinity", "+Infinity", "-Infinity")
 BOOLEAN_TEXTS = ("True", "False", "TRUE", "FALSE", "true", "false")
 
-_SNIFFED_LINES = 20
+#: takes what a row has beyond the header's fields
+_SURPLUS = "__surplus_field"
 
 
 def detect_separator(lines: Sequence[str]) -> str:
@@ -56,15 +57,20 @@ def read_csv(
     separator: str | None = None,
     schema: T.StructType | str | None = None,
     multiline: bool = False,
+    sniff_lines: int = 20,
 ) -> DataFrame:
     """Read CSV from any location Spark can open (``file:``, ``hdfs:``, ``s3a:``, …), with a header row.
 
     Without ``schema`` one scan decides each column's type (bigint, double, boolean or string), treating the
-    usual texts for missing values as NULL. Give a schema for very large files to save that scan.
-    ``multiline`` allows line breaks inside quotes, at the price of one task per file.
+    usual texts for missing values as NULL. Give a schema for very large files to save that scan: it names every
+    column of the file, in the file's order or by the file's names. ``multiline`` allows line breaks inside quotes, at
+    the price of one task per file. Without ``separator`` the first ``sniff_lines`` lines decide it.
+
+    A row with fewer fields than the header has NULL in the others. A row with a further field that holds something
+    fails the job that reads it, so that nothing is lost unseen.
     """
     if separator is None:
-        first = spark.read.text(location).limit(_SNIFFED_LINES).collect()
+        first = spark.read.text(location).limit(sniff_lines).collect()
         if not first:
             raise ValueError(f"{location} is empty")
         separator = detect_separator([r[0] for r in first])
@@ -75,11 +81,20 @@ def read_csv(
         .option("escape", '"')
         .option("multiLine", multiline)
     )
-    texts = reader.option("inferSchema", False).csv(location)
+    names = reader.option("inferSchema", False).csv(location).columns
+    fields = [T.StructField(c, T.StringType()) for c in [*names, _SURPLUS]]
+    # the filter looks at the surplus whichever columns are asked for
+    surplus = F.concat(F.lit(f"{location_label(location)} has a row with more than {len(names)} fields, such as "), F.col(_SURPLUS))
+    whole = F.when(F.col(_SURPLUS).isNull(), F.lit(True)).otherwise(F.raise_error(surplus).cast("boolean"))
+    texts = reader.schema(T.StructType(fields)).csv(location).where(whole).drop(_SURPLUS)
     if schema is not None:
         wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        if len(wanted.fields) != len(names):
+            raise ValueError(f"the schema names {len(wanted.fields)} columns {wanted.names}, the file has {names}")
+        by_name = set(wanted.names) == set(names)
+        sources = wanted.names if by_name else names
         return texts.select(
-            *[_typed(c, f.dataType.simpleString()).alias(f.name) for c, f in zip(texts.columns, wanted.fields)]
+            *[_typed(c, f.dataType.simpleString()).alias(f.name) for c, f in zip(sources, wanted.fields, strict=True)]
         )
     kinds = infer_types(texts)
     return texts.select(*[_typed(c, kinds[c]).alias(c) for c in texts.columns])

@@ -14,7 +14,7 @@ from tablescope.sources.catalog import (
     write_table,
 )
 from tablescope.sources.csv_files import detect_separator, location_label, read_csv, write_csv
-from tablescope.sources.demo import OUTLIERS, demo_table
+from tablescope.sources.demo import GAPPY, READINGS, demo_table, planted_rows
 
 
 def put(tmp_path, text, name="t.csv"):
@@ -138,26 +138,47 @@ def test_small_tables(spark):
 
 
 def test_demo_table(spark):
-    df = demo_table(spark, 2000, partitions=2)
-    pdf = df.toPandas().set_index("row_id").sort_index()
-    assert pdf.shape == (2000, 8)
-    for row, (name, value) in OUTLIERS.items():
-        assert pdf.loc[row, name] == value
+    pdf = demo_table(spark, 2000, partitions=2).toPandas().set_index("row_id").sort_index()
+    assert pdf.shape == (2000, 8) and list(pdf) == list(READINGS)
+    for name, row in planted_rows(2000).items():
+        centre, spread, *_ = READINGS[name]
+        assert abs(pdf.loc[row, name] - centre) > 7 * spread
     gaps = pdf.isna().mean()
-    assert gaps[["note_annuelle", "satisfaction_job", "nb_conges_pris"]].between(0.03, 0.07).all()
-    assert gaps.drop(["note_annuelle", "satisfaction_job", "nb_conges_pris"]).eq(0).all()
-    related = pdf.drop(index=list(OUTLIERS)).corr()
-    assert related.loc["note_annuelle", "productivite_score"] > 0.8
-    assert related.loc["satisfaction_job", "score_engagement"] > 0.6
-    assert abs(related.loc["note_annuelle", "satisfaction_job"]) < 0.1
-    assert pdf["anciennete_annees"].between(0.5, 30).all()
+    assert gaps[list(GAPPY)].between(0.02, 0.06).all() and gaps.drop(list(GAPPY)).eq(0).all()
+    related = pdf.drop(index=list(planted_rows(2000).values())).corr()
+    assert related.loc["throughput", "power_kw"] > 0.7 and related.loc["vibration", "noise_db"] > 0.7
+    assert abs(related.loc["pressure_bar", "stops"]) < 0.1 and abs(related["ambient_c"].drop("ambient_c")).max() < 0.1
 
 
 def test_demo_table_survives_csv(spark, tmp_path):
-    df = demo_table(spark, 200, partitions=1).drop("row_id")
+    df = demo_table(spark, 240, partitions=1).drop("row_id")
     write_csv(df, str(tmp_path / "demo"))
     back = read_csv(spark, str(tmp_path / "demo"))
-    assert shape(back) == (200, 8)
-    pdf = back.toPandas()
-    pd.testing.assert_series_equal(pdf.isna().sum(), df.toPandas().isna().sum())
-    assert pdf["productivite_score"].max() == 200.0
+    assert shape(back) == (240, 8)
+    pd.testing.assert_series_equal(back.toPandas().isna().sum(), df.toPandas().isna().sum())
+
+
+def test_a_surplus_field_fails_the_read(spark, tmp_path):
+    table = read_csv(spark, put(tmp_path, "a,b\n1,2\n3,4,5\n"), schema="a bigint, b bigint")
+    for columns in (["a", "b"], ["a"]):
+        with pytest.raises(Exception, match="more than 2 fields, such as 5"):
+            table.select(*columns).collect()
+    with pytest.raises(Exception, match="more than 2 fields"):
+        read_csv(spark, put(tmp_path, "a,b\n1,2\n3,4,5\n", "u.csv"))
+
+
+def test_short_rows_have_nulls(spark, tmp_path):
+    table = read_csv(spark, put(tmp_path, "a,b,c\n1,2,3\n4\n5,6\n"))
+    assert [tuple(r) for r in table.orderBy("a").collect()] == [(1, 2, 3), (4, None, None), (5, 6, None)]
+
+
+def test_a_schema_names_every_column(spark, tmp_path):
+    path = put(tmp_path, "a,b,c\n1,2,x\n")
+    with pytest.raises(ValueError, match="names 2 columns"):
+        read_csv(spark, path, schema="a bigint, b bigint")
+    assert read_csv(spark, path, schema="c string, a bigint, b double").first().asDict() == {"c": "x", "a": 1, "b": 2.0}
+
+
+def test_more_lines_decide_the_separator(spark, tmp_path):
+    path = put(tmp_path, "x;y\n1,5;2\n" + "3;4\n" * 3)
+    assert read_csv(spark, path, sniff_lines=1).columns == ["x", "y"]
