@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.functions.tables import small_table
-from tablescope.functions.columns import cell, col, is_whole, measure, numeric_columns
-from tablescope.operators.profile import distinct_at_least
+from tablescope.functions.columns import cell, col, data_type, is_whole, measure, numeric_columns
+from tablescope.operators.profile import distinct_counts
 from tablescope.operators.quantiles import exact_quantiles
 from tablescope.operators.statistics import ColumnStatistics, column_statistics
 from tablescope.operators.values import value_summary
@@ -94,17 +94,27 @@ class SanitizationReport:
 
 @dataclass(frozen=True)
 class ColumnPlan:
-    """What is done to a kept column: gap filling, and the centre and spread of its z-score."""
+    """What is done to a kept column: gap filling, and the centre and spread of its z-score.
+
+    ``mean`` counts from ``origin``, which is not 0 for whole numbers too large for doubles. A column that keeps its type
+    takes its fill rounded, if it holds whole numbers.
+    """
 
     name: str
     fill: float | int | None
     mean: float
     sd: float
+    origin: int = 0
+    keeps_type: bool = False  # the column had no gap while fitting
 
 
 @dataclass(frozen=True)
 class CleaningPlan:
-    """Everything fitted on a table; can be applied to any table with the same columns."""
+    """Everything fitted on a table; can be applied to any table with the same columns.
+
+    A gap in a column that had none while fitting, and so no fill, fails the job with the column's name; with
+    ``sanitize(..., fill_all=True)`` every column has a fill.
+    """
 
     columns: tuple[ColumnPlan, ...]
     zscore_threshold: float
@@ -112,13 +122,20 @@ class CleaningPlan:
 
     def cell(self, df: DataFrame, plan: ColumnPlan) -> Column:
         """The filled cell: a column keeps its type unless one of its cells had to be filled."""
+        own = cell(df, plan.name)
         if plan.fill is None:
-            return cell(df, plan.name)
+            missing = F.raise_error(F.lit(f"{plan.name} has a missing cell, but had none when the plan was fitted"))
+            return F.coalesce(own, missing.cast(data_type(df, plan.name)))
+        if plan.keeps_type:
+            fill = round(plan.fill) if is_whole(df, plan.name) else plan.fill
+            return F.coalesce(own, F.lit(fill).cast(data_type(df, plan.name)))
         return F.coalesce(measure(df, plan.name), F.lit(float(plan.fill)))
 
     def zscore(self, df: DataFrame, plan: ColumnPlan) -> Column:
-        value = self.cell(df, plan).cast("double")
-        return (value - F.lit(plan.mean)) / F.lit(plan.sd)
+        value = self.cell(df, plan)
+        if plan.origin:
+            value = value.cast("decimal(38,0)") - F.lit(str(plan.origin)).cast("decimal(38,0)")
+        return (value.cast("double") - F.lit(plan.mean)) / F.lit(plan.sd)
 
     def zscores(self, df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
         """z-score of every kept cell."""
@@ -172,16 +189,16 @@ class SanitizedTable:
 
 
 def fill_values(
-    df: DataFrame, statistics: dict[str, ColumnStatistics], strategy: str
+    df: DataFrame, statistics: dict[str, ColumnStatistics], strategy: str, fill_all: bool = False
 ) -> dict[str, float | int | None]:
-    """Replacement for the missing cells of each column that has any."""
-    gaps = [c for c, s in statistics.items() if s.n_missing and s.n_present]
+    """Replacement for the missing cells of each column that has any, or of every column."""
+    gaps = [c for c, s in statistics.items() if s.n_present and (s.n_missing or fill_all)]
     if strategy == "mean":
-        return {c: statistics[c].mean for c in gaps}
+        return {c: statistics[c].origin + statistics[c].mean for c in gaps}
     if strategy == "most_frequent":
         return {c: s.mode for c, s in value_summary(df, gaps).items()}
     slots = {c: f"c_{i}" for i, c in enumerate(gaps)}
-    known = {slots[c]: (statistics[c].n_present, statistics[c].low, statistics[c].high) for c in gaps}
+    known = {slots[c]: (statistics[c].n_present, float(statistics[c].low), float(statistics[c].high)) for c in gaps}
     medians = exact_quantiles(df.select(*[measure(df, c).alias(slots[c]) for c in gaps]), [0.5], known) if gaps else {}
     return {c: medians[slots[c]][0] for c in gaps}
 
@@ -193,32 +210,36 @@ def sanitize(
     imputation_strategy: str = "median",
     exclude: Sequence[str] = (),
     key: Sequence[str] = (),
+    fill_all: bool = False,
 ) -> SanitizedTable:
     """Fit the cleaning plan and return the lazy clean table.
 
     ``exclude`` leaves identifier columns out of the analysis; ``key`` columns are carried along untouched.
+    ``fill_all`` fits a fill for every column, so that the plan serves tables with other gaps.
     Scans: one for the column statistics; one or two for medians, modes or distinct counts when needed.
     """
     if imputation_strategy not in STRATEGIES:
         raise ValueError(f"imputation_strategy must be one of {STRATEGIES}, got {imputation_strategy!r}")
     names = [c for c in numeric_columns(df) if c not in exclude and c not in key]
-    n_rows, statistics = column_statistics(df, {c: measure(df, c) for c in names})
+    whole = {c: col(c) for c in names if is_whole(df, c)}
+    n_rows, statistics = column_statistics(df, {c: measure(df, c) for c in names}, whole)
 
     constant = [c for c in names if statistics[c].is_constant]
     statistics = {c: s for c, s in statistics.items() if c not in constant}
     imputed = sum(s.n_missing for s in statistics.values())
-    fills = fill_values(df, statistics, imputation_strategy)
+    fills = fill_values(df, statistics, imputation_strategy, fill_all)
+    used = {c: f for c, f in fills.items() if statistics[c].n_missing}
 
-    low_variance = _near_constant(df, statistics, fills, n_rows, min_unique_ratio)
+    low_variance = _near_constant(df, statistics, used, n_rows, min_unique_ratio)
     plans = []
     for c, s in statistics.items():
         if c in low_variance:
             continue
-        mean, variance = s.after_fill(fills.get(c))
+        mean, variance = s.after_fill(used.get(c))
         if variance <= 0.0:  # one value left once the gaps are filled: no z-score exists
             low_variance.append(c)
             continue
-        plans.append(ColumnPlan(c, fills.get(c), mean, variance**0.5))
+        plans.append(ColumnPlan(c, fills.get(c), mean, variance**0.5, s.origin, keeps_type=c in fills and c not in used))
     plan = CleaningPlan(tuple(plans), zscore_threshold, remove_outliers=n_rows > 1)
     return SanitizedTable(
         plan.apply(df, key),
@@ -241,14 +262,13 @@ def _near_constant(
     """Columns whose share of distinct values, gaps filled, is below the ratio."""
     if min_unique_ratio <= 0 or not n_rows:
         return []
-    cut = min_unique_ratio * n_rows
     # whole numbers between two bounds cannot take more values than the bounds allow
     near = [
         c
         for c, s in statistics.items()
         if is_whole(df, c) and c not in fills and (s.high - s.low + 1) / n_rows < min_unique_ratio
     ]
-    distinct = distinct_at_least(df, [c for c in statistics if c not in near], n_rows, (cut,))
+    distinct = distinct_counts(df, [c for c in statistics if c not in near])
     # a fill value that no cell holds adds one distinct value; it matters only right at the cut
     edge = [c for c in fills if c in distinct and distinct[c] / n_rows < min_unique_ratio <= (distinct[c] + 1) / n_rows]
     unseen = _unseen_fills(df, {c: fills[c] for c in edge})

@@ -68,11 +68,3 @@ def value_summary(df: DataFrame, names: Sequence[str], modes: bool = True) -> di
         mode = None if top is None else (top["whole"] if top["whole"] is not None else top["real"])
         summary[names[r["position"]]] = ValueSummary(r["n_rows"], r["n_missing"], r["n_distinct"], mode)
     return summary
-
-
-def approximate_distinct(df: DataFrame, names: Sequence[str], rsd: float = 0.02) -> dict[str, int]:
-    """HyperLogLog estimates, one scan without a shuffle of the values."""
-    if not names:
-        return {}
-    row = df.agg(*[F.approx_count_distinct(cell(df, n), rsd).alias(f"d_{i}") for i, n in enumerate(names)]).first()
-    return {n: row[f"d_{i}"] for i, n in enumerate(names)}

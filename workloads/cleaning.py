@@ -374,3 +374,44 @@ def standardize_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = load(spark, sf_dir, "part").withColumn("one", F.lit(1))
     analysis = TableAnalysis(table, ("p_size", "p_retailprice", "one"), key=["p_partkey"])
     return rounded(analysis.standardized())
+
+
+PLAIN_LINES = "SELECT l_orderkey, l_linenumber, l_quantity AS quantity, l_extendedprice AS price FROM lineitem"
+
+
+@query(
+    f"""
+    WITH f AS (SELECT avg(quantity) AS mq, stddev_pop(quantity) AS sq, avg(price) AS mp, stddev_pop(price) AS sp FROM ({PLAIN_LINES})),
+    g AS (SELECT l_orderkey, l_linenumber, quantity, coalesce(price, mp) AS price, mq, sq, mp, sp FROM ({GAPPY_LINES}), f)
+    SELECT l_orderkey, l_linenumber, {r('quantity', 'quantity')}, {r('price', 'price')} FROM g
+    WHERE abs((quantity - mq) / sq) < 1.5 AND abs((price - mp) / sp) < 1.5
+    """
+)
+def plan_for_another_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted where no price is missing, applied where a third of them are."""
+    key = ("l_orderkey", "l_linenumber")
+    fitted = sanitize(
+        derived(spark, sf_dir, PLAIN_LINES), 1.5, 0.0, "mean", exclude=key, fill_all=True
+    )
+    return rounded(fitted.plan.apply(derived(spark, sf_dir, GAPPY_LINES), key))
+
+
+LARGE_KEYS = """
+SELECT l_quantity, 9007199254740992 + l_linenumber % 2 AS pair, 9007199254740993 + 0 * l_linenumber AS same,
+       9007199254740992 + l_orderkey AS large_key
+FROM lineitem
+"""
+
+
+@query(
+    f"""SELECT pair, count(*) AS n_rows, min(large_key) AS first_key, max(large_key) AS last_key FROM ({LARGE_KEYS})
+    GROUP BY pair"""
+)
+def large_whole_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers that doubles cannot tell apart: only the column with one value goes."""
+    found = sanitize(derived(spark, sf_dir, LARGE_KEYS), 6.0, 0.0)
+    if found.dropped_constant_cols != ["same"] or found.dropped_low_variance_cols:
+        raise ValueError(f"dropped {found.dropped_constant_cols} and {found.dropped_low_variance_cols}")
+    return found.df.groupBy("pair").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("large_key").alias("first_key"), F.max("large_key").alias("last_key")
+    )
