@@ -131,7 +131,7 @@ def spearman_moments(
     slot_bounds = None if bounds is None else {slots[c]: bounds[c] for c in values}
     n, ranks = average_ranks(df, {slots[c]: values[c] for c in values}, bounds=slot_bounds, n_rows=n_rows)
     centre = [(n + 1) / 2.0] * len(slots)
-    found = cross_moments(ranks, {s: F.col(s) for s in slots.values()}, centre=centre)
+    found = cross_moments(ranks, {s: F.col(s) for s in slots.values()})
     return replace(found, columns=tuple(values))
 
 

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-#: up to this many columns the products are plain aggregate expressions (one code-generated scan)
-EXPRESSION_COLUMNS = 40
-
-#: squared mean over variance above which sums around zero would lose digits
-_LOSSY = 1e6
 
 
 @dataclass(frozen=True)
@@ -70,81 +63,113 @@ class Moments:
         return np.nan_to_num(self.correlation(), nan=0.0)
 
 
-def cross_moments(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    centre: Sequence[float] | None = None,
-) -> Moments:
-    """Moments of the given non-null double expressions.
+def cross_moments(df: DataFrame, values: Mapping[str, Column]) -> Moments:
+    """Moments of the given non-null double expressions, in one scan for any number of columns.
 
-    Sums of products are taken around ``centre`` (zero by default). Only when a column's mean dwarfs its
-    spread, so that digits would be lost, a second scan around the true means follows.
+    Each task folds its rows, block by block, into one centred product matrix; two of them combine around their common
+    mean, so a mean that dwarfs the spread costs no digits. The matrices meet in a few tasks before the driver.
     """
     names = tuple(values)
-    if len(names) > EXPRESSION_COLUMNS:
-        return _wide_moments(df, values)
-    shift = np.zeros(len(names)) if centre is None else np.asarray(centre, dtype=float)
-    found = _shifted_scan(df, values, shift)
-    if centre is None and found.n:
-        var = np.diag(found.cov)
-        if np.any(~found.constant & (found.mean**2 > _LOSSY * np.maximum(var, 0.0))):
-            found = _shifted_scan(df, values, found.mean)
-    return found
-
-
-def _shifted_scan(df: DataFrame, values: Mapping[str, Column], shift: np.ndarray) -> Moments:
-    names, p = list(values), len(values)
-    plain = df.select(*[values[c].alias(f"x_{i}") for i, c in enumerate(names)])
-    centred = [F.col(f"x_{i}") - F.lit(float(shift[i])) if shift[i] else F.col(f"x_{i}") for i in range(p)]
-    row = plain.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count(f"x_{i}").alias(f"n_{i}") for i in range(p)],
-        *[F.min(f"x_{i}").alias(f"lo_{i}") for i in range(p)],
-        *[F.max(f"x_{i}").alias(f"hi_{i}") for i in range(p)],
-        *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(centred)],
-        *[F.sum(centred[i] * centred[j]).alias(f"s_{i}_{j}") for i in range(p) for j in range(i, p)],
-    ).first()
-    n = row["n"]
-    incomplete = [c for i, c in enumerate(names) if row[f"n_{i}"] < n]
+    plain = df.select(*[values[c].cast("double").alias(f"x_{i}") for i, c in enumerate(names)])
+    parts = plain.mapInArrow(_fold_rows(len(names)), _PARTIAL).repartition(MERGE_TASKS, "task")
+    rows = parts.mapInArrow(_merge_partials(len(names)), _PARTIAL).collect()
+    total = _Partial.empty(len(names))
+    for r in sorted(rows, key=lambda r: r["task"]):
+        total = total.plus(_Partial.read(bytes(r["partial"]), len(names)))
+    incomplete = [c for c, gaps in zip(names, total.missing) if gaps]
     if incomplete:
         raise ValueError(f"columns with missing cells: {incomplete}; fill them first")
-    if not n:
-        return _no_rows(names)
-    delta = np.array([row[f"s_{i}"] for i in range(p)], dtype=float) / n
-    low = np.array([row[f"lo_{i}"] for i in range(p)], dtype=float)
-    high = np.array([row[f"hi_{i}"] for i in range(p)], dtype=float)
-    cov = np.empty((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            flat = low[i] == high[i] or low[j] == high[j]
-            cov[i, j] = cov[j, i] = 0.0 if flat else row[f"s_{i}_{j}"] / n - delta[i] * delta[j]
-    return Moments(tuple(names), n, shift + delta, cov, low, high)
-
-
-def _no_rows(names: Sequence[str]) -> Moments:
-    nothing = np.full(len(names), np.nan)
-    return Moments(tuple(names), 0, nothing, np.full((len(names), len(names)), np.nan), nothing, nothing)
-
-
-def _wide_moments(df: DataFrame, values: Mapping[str, Column]) -> Moments:
-    """Many columns: the Gram matrix is a tree aggregation of dense vectors (MLlib)."""
-    names = list(values)
-    plain = df.select(*[values[c].alias(f"c_{i}") for i, c in enumerate(names)])
-    vectors = VectorAssembler(
-        inputCols=[f"c_{i}" for i in range(len(names))], outputCol="features"
-    ).transform(plain).select("features")
-    s = vectors.agg(
-        Summarizer.metrics("count", "mean", "variance", "min", "max").summary(F.col("features")).alias("s")
-    ).first()["s"]
-    n, p = int(s["count"]), len(names)
-    if n == 0:
-        return _no_rows(names)
-    low, high = np.asarray(s["min"].toArray()), np.asarray(s["max"].toArray())
-    variance = np.where(low == high, 0.0, np.asarray(s["variance"].toArray()) * (n - 1) / n)
-    cov = np.zeros((p, p))
-    if n > 1 and variance.any():
-        r = np.nan_to_num(np.asarray(Correlation.corr(vectors, "features").first()[0].toArray()), nan=0.0)
-        sd = np.sqrt(variance)
-        cov = r * np.outer(sd, sd)
-        np.fill_diagonal(cov, variance)
-    return Moments(tuple(names), n, np.asarray(s["mean"].toArray()), cov, low, high)
+    if not total.n:
+        nothing = np.full(len(names), np.nan)
+        return Moments(names, 0, nothing, np.full((len(names), len(names)), np.nan), nothing, nothing)
+    flat = total.low == total.high
+    cov = np.where(flat[:, None] | flat[None, :], 0.0, total.products / total.n)
+    return Moments(names, total.n, total.mean, (cov + cov.T) / 2, total.low, total.high)
+
+
+_PARTIAL = "task int, partial binary"
+MERGE_TASKS = 16
+
+
+@dataclass(frozen=True)
+class _Partial:
+    """Rows seen: their number, gaps by column, mean, bounds, and products around the mean."""
+
+    n: int
+    missing: np.ndarray
+    mean: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    products: np.ndarray
+
+    @staticmethod
+    def empty(p: int) -> _Partial:
+        zero = np.zeros(p)
+        return _Partial(0, zero, zero, np.full(p, np.inf), np.full(p, -np.inf), np.zeros((p, p)))
+
+    @staticmethod
+    def of(block: np.ndarray) -> _Partial:
+        missing = np.isnan(block).sum(axis=0).astype(float)
+        mean = block.mean(axis=0)
+        centred = block - mean
+        return _Partial(len(block), missing, mean, block.min(axis=0), block.max(axis=0), centred.T @ centred)
+
+    def plus(self, other: _Partial) -> _Partial:
+        if not self.n or not other.n:
+            return other if other.n else self
+        n = self.n + other.n
+        step = other.mean - self.mean
+        return _Partial(
+            n,
+            self.missing + other.missing,
+            self.mean + step * (other.n / n),
+            np.minimum(self.low, other.low),
+            np.maximum(self.high, other.high),
+            self.products + other.products + np.outer(step, step) * (self.n * other.n / n),
+        )
+
+    def write(self) -> bytes:
+        return np.concatenate(
+            [[self.n], self.missing, self.mean, self.low, self.high, self.products.ravel()]
+        ).tobytes()
+
+    @staticmethod
+    def read(data: bytes, p: int) -> _Partial:
+        v = np.frombuffer(data)
+        missing, mean, low, high = v[1 : 1 + 4 * p].reshape(4, p)
+        return _Partial(int(v[0]), missing, mean, low, high, v[1 + 4 * p :].reshape(p, p))
+
+
+def _row(task: int, partial: _Partial) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([task], pa.int32()), pa.array([partial.write()], pa.binary())], names=["task", "partial"]
+    )
+
+
+def _fold_rows(p: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = _Partial.empty(p)
+        for batch in batches:
+            if batch.num_rows:
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                total = total.plus(_Partial.of(np.stack(columns, axis=1).astype(float)))
+        if total.n:
+            yield _row(TaskContext.get().partitionId(), total)
+
+    return run
+
+
+def _merge_partials(p: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(
+            (task, data)
+            for batch in batches
+            for task, data in zip(batch.column("task").to_pylist(), batch.column("partial").to_pylist())
+        )
+        total = _Partial.empty(p)
+        for _, data in found:
+            total = total.plus(_Partial.read(data, p))
+        if found:
+            yield _row(found[0][0], total)
+
+    return run

@@ -10,7 +10,6 @@ from tablescope.functions.tails import (
     chi_square_tail,
     correlation_p_value,
     normal_two_sided,
-    regularized_beta,
     student_two_sided,
 )
 
@@ -26,10 +25,22 @@ def test_student_two_degrees_closed_form():
         assert student_two_sided(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), rel=1e-12)
 
 
-def test_student_is_continuous_where_the_normal_law_takes_over():
-    below, above = student_two_sided(2.0, 99_999), student_two_sided(2.0, 100_001)
-    assert below == pytest.approx(above, rel=1e-8)
+def test_student_is_one_curve_at_any_number_of_degrees():
+    for t in (0.3, 2.0, 12.0, 20.0):
+        below, above = student_two_sided(t, 99_999), student_two_sided(t, 100_001)
+        # the slope by df is about t**4 / (4 df**2)
+        assert below == pytest.approx(above, rel=max(1e-9, t**4 / 1e10))
     assert student_two_sided(1.959964, 1e12) == pytest.approx(0.05, abs=1e-7)
+    for t in (0.0, 1e-9, 0.5, 3.0, 8.0):
+        assert student_two_sided(t, 1e14) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-9)
+
+
+def test_student_closed_forms():
+    for t in (0.0, 1e-6, 0.2, 1.0, 4.0, 60.0):
+        assert student_two_sided(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(t), rel=1e-11)
+        angle = t / math.sqrt(3)
+        three = 1 - 2 / math.pi * (math.atan(angle) + angle / (1 + angle * angle))
+        assert student_two_sided(t, 3) == pytest.approx(three, rel=1e-9)
 
 
 def test_chi_square_even_degrees_finite_sum():
@@ -40,12 +51,6 @@ def test_chi_square_even_degrees_finite_sum():
     assert chi_square_tail(math.inf, 4) == 0.0
 
 
-def test_beta_symmetry_and_ends():
-    assert regularized_beta(2, 3, 0.0) == 0.0
-    assert regularized_beta(2, 3, 1.0) == 1.0
-    assert regularized_beta(2.5, 0.5, 0.3) == pytest.approx(1 - regularized_beta(0.5, 2.5, 0.7), rel=1e-12)
-
-
 def test_correlation_p_value_edges():
     assert correlation_p_value(1.0, 10) == 0.0
     assert math.isnan(correlation_p_value(0.5, 2))
