@@ -6,15 +6,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.functions.columns import col, level_text, measure, pick_numeric
 from tablescope.functions.tables import small_table
 from tablescope.operators.inertia import dims, inertia_shares, inertia_table
-from tablescope.operators.levels import MAX_LEVELS, Levels, burt_matrix, count_levels, existing, level_weights
+from tablescope.operators.levels import Levels, SplitLevels, burt_matrix, existing, level_weights, split_levels
 from tablescope.operators.moments import Moments, cross_moments
 from tablescope.operators.pca import linear_scores, ordered_eigen
+from tablescope.operators.wide_levels import add_wide_weights, wide_axes, wide_coordinates, wide_texts
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,7 @@ class FAMDResult:
     relationships: np.ndarray  # squared correlation or correlation ratio, variables x axes
     n_components: int
     row_coordinates: DataFrame
+    wide: DataFrame | None = None  # (variable, level, kind, dim, coordinate) of variables with many levels
 
     @property
     def total_inertia_explained(self) -> float:
@@ -46,11 +48,12 @@ class FAMDResult:
             for i, c in enumerate(self.continuous)
             for k, dim in enumerate(dims(self.n_components))
         ] + [
-            (self.categorical[v], text, "level", dim, float(self.level_coordinates[i, k]))
+            (self.levels.variables[v], text, "level", dim, float(self.level_coordinates[i, k]))
             for i, (v, text) in enumerate(self.levels.names)
             for k, dim in enumerate(dims(self.n_components))
         ]
-        return small_table(spark, rows, "variable string, level string, kind string, dim string, coordinate double")
+        few = small_table(spark, rows, "variable string, level string, kind string, dim string, coordinate double")
+        return few if self.wide is None else few.unionByName(self.wide)
 
     def relationships_df(self, spark: SparkSession) -> DataFrame:
         """``(variable, dim, squared)``: how much of the axis the variable accounts for."""
@@ -83,6 +86,11 @@ def block_matrix(moments: Moments, levels: Levels, burt: np.ndarray) -> np.ndarr
     return matrix
 
 
+def centred_columns(df: DataFrame, names: Sequence[str], mean: Sequence[float]) -> list[Column]:
+    """The columns around their means, whose level sums ``split_levels`` takes."""
+    return [measure(df, c) - F.lit(float(m)) for c, m in zip(names, mean)]
+
+
 def famd(
     df: DataFrame,
     continuous: Sequence[str],
@@ -91,9 +99,14 @@ def famd(
     key: Sequence[str] = (),
     inertia_basis: str = "total",
     moments: Moments | None = None,
-    max_levels: int = MAX_LEVELS,
+    split: SplitLevels | None = None,
+    burt: np.ndarray | None = None,
+    dense_levels: int | None = None,
 ) -> FAMDResult:
-    """Common axes of continuous columns and categorical levels; row coordinates are lazy and narrow."""
+    """Common axes of continuous columns and categorical levels, of any number; row coordinates are lazy.
+
+    ``split``, with the sums of ``centred_columns``, and ``burt`` are the counts where they are known already.
+    """
     reals, labels = existing(df, continuous), existing(df, categorical)
     if not reals:
         raise ValueError(f"none of the continuous columns {list(continuous)} is in the table")
@@ -107,27 +120,45 @@ def famd(
     if not moments.n:
         raise ValueError("the table is empty")
     moments = moments.subset([moments.columns.index(c) for c in reals])
-    centre = moments.mean
-    shifted = [v - F.lit(float(m)) for v, m in zip(values.values(), centre)]
-    levels = count_levels(df, labels, shifted, max_levels)
+    if split is None:
+        split = split_levels(df, labels, centred_columns(df, reals, moments.mean), dense_levels)
+    levels = split.narrow
     matrix = block_matrix(
         replace(moments, mean=np.zeros(len(reals))),  # level sums are already centred
         levels,
-        burt_matrix(df, levels),
+        burt_matrix(df, levels) if burt is None else burt,
     )
-    eigenvalues, vectors = ordered_eigen(matrix)
-    kept, axes = eigenvalues[:n_components], vectors[:, :n_components]
     p, root, names = len(reals), np.sqrt(levels.share), dims(n_components)
-    relationships = [kept * axes[j] ** 2 for j in range(p)]
-    relationships += [kept * (axes[[p + i for i in levels.of(q)]] ** 2).sum(axis=0) for q in range(len(labels))]
-
-    linear = linear_scores(list(values.values()), moments.mean, moments.scale, axes[:p], [f"__z{k}" for k in range(n_components)])
-    carried = {k: col(k) for k in key} | {f"__z{k}": s for k, s in enumerate(linear)}
-    placed = level_weights(df, levels, axes[p:] / root[:, None], carried, [f"__c{k}" for k in range(n_components)])
+    # standardised columns that vary, and one less than its levels for each variable
+    total = float(len(moments.varying) + split.n_levels - len(labels))
+    carried = {k: col(k) for k in key}
+    axes = None
+    if split.wide:
+        axes = wide_axes(df, split, matrix, moments.scale, n_components)
+        eigenvalues = kept = axes.eigenvalues
+        vectors = axes.dense
+        carried |= wide_texts(df, split)
+    else:
+        eigenvalues, vectors = ordered_eigen(matrix)
+        kept, vectors = eigenvalues[:n_components], vectors[:, :n_components]
+    squares = {v: (vectors[[p + i for i in levels.of(q)]] ** 2).sum(axis=0) for q, v in enumerate(levels.variables)}
+    if axes is not None:
+        squares |= axes.squares
+    relationships = [kept * vectors[j] ** 2 for j in range(p)] + [kept * squares[v] for v in labels]
+
+    scores = [f"__z{k}" for k in range(n_components)]
+    linear = linear_scores(list(values.values()), moments.mean, moments.scale, vectors[:p], scores)
+    carried |= dict(zip(scores, linear))
+    placed = level_weights(df, levels, vectors[p:] / root[:, None], carried, [f"__c{k}" for k in range(n_components)])
     rows = placed.select(
-        *[col(k) for k in key], *[(F.col(f"__z{k}") + F.col(f"__c{k}")).alias(n) for k, n in enumerate(names)]
+        *[col(k) for k in carried if k not in scores],
+        *[(F.col(f"__z{k}") + F.col(f"__c{k}")).alias(n) for k, n in enumerate(names)],
     )
-    total = float(np.trace(matrix))
+    wide = None
+    if axes is not None:
+        rows = add_wide_weights(rows, df, axes, split, 1.0, names).select(*[col(k) for k in key], *names)
+        wide = wide_coordinates(axes, split, kept, names)
+        wide = wide.select("variable", "level", F.lit("level").alias("kind"), "dim", "coordinate")
     return FAMDResult(
         tuple(reals),
         tuple(labels),
@@ -136,9 +167,10 @@ def famd(
         eigenvalues,
         total,
         inertia_shares(kept, total, inertia_basis),
-        axes[:p] * np.sqrt(kept),
-        axes[p:] / root[:, None] * kept,
+        vectors[:p] * np.sqrt(kept),
+        vectors[p:] / root[:, None] * kept,
         np.array(relationships),
         n_components,
         rows,
+        wide,
     )

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.columns import at, col, level_text
 from tablescope.functions.tables import small_table
+from tablescope.plans.reuse import written
 
-#: a J x J problem is solved on the driver; more levels must be grouped by the caller first
-MAX_LEVELS = 5000
+#: variables with few levels share one dense matrix of at most this many levels; the others stay in tables
+DENSE_LEVELS = 3000
 
 #: rows are first collapsed to distinct level combinations when no more than this many can exist
 MAX_COMBINATIONS = 1_000_000
@@ -45,32 +46,80 @@ class Levels:
         return [i for i, (q, _) in enumerate(self.names) if q == variable]
 
 
-def count_levels(
-    df: DataFrame,
-    variables: Sequence[str],
-    values: Sequence[Column] = (),
-    max_levels: int = MAX_LEVELS,
-) -> Levels:
-    """One scan: rows per level, and the sum of each of ``values`` per level."""
+def level_rows(df: DataFrame, variables: Sequence[str], values: Sequence[Column] = ()) -> DataFrame:
+    """``(position, level, rows, x_0, …)``: rows per level, and the sum of each of ``values`` per level, in one scan."""
     texts = F.array(*[level_text(df, v) for v in variables])
     frame = df.select(
         *[v.alias(f"x_{j}") for j, v in enumerate(values)], F.posexplode(texts).alias("position", "level")
     )
-    found = (
-        frame.groupBy("position", "level")
-        .agg(F.count(F.lit(1)).alias("rows"), *[F.sum(f"x_{j}").alias(f"x_{j}") for j in range(len(values))])
-        .limit(max_levels + 1)
-        .collect()
-    )
-    if len(found) > max_levels:
-        raise ValueError(
-            f"{list(variables)} hold more than {max_levels} levels; group rare levels before the analysis"
-        )
-    found.sort(key=lambda r: (r["position"], r["level"]))
-    rows = np.array([r["rows"] for r in found], dtype=float)
+    sums = [F.sum(f"x_{j}").alias(f"x_{j}") for j in range(len(values))]
+    return frame.groupBy("position", "level").agg(F.count(F.lit(1)).alias("rows"), *sums)
+
+
+def _collected(rows: Sequence, variables: Sequence[str], n_values: int) -> Levels:
+    found = sorted(rows, key=lambda r: (r["position"], r["level"]))
     n = int(sum(r["rows"] for r in found if r["position"] == 0))
-    sums = np.array([[r[f"x_{j}"] for j in range(len(values))] for r in found], dtype=float)
-    return Levels(tuple(variables), tuple((r["position"], r["level"]) for r in found), rows, n, sums)
+    return Levels(
+        tuple(variables),
+        tuple((r["position"], r["level"]) for r in found),
+        np.array([r["rows"] for r in found], dtype=float),
+        n,
+        np.array([[r[f"x_{j}"] for j in range(n_values)] for r in found], dtype=float).reshape(len(found), n_values),
+    )
+
+
+def count_levels(df: DataFrame, variables: Sequence[str], values: Sequence[Column] = ()) -> Levels:
+    """All levels on the driver: for variables known to have few. ``split_levels`` serves any number."""
+    return _collected(level_rows(df, variables, values).collect(), variables, len(values))
+
+
+@dataclass(frozen=True)
+class SplitLevels:
+    """Variables with few levels, which the driver knows, and ``wide`` ones, whose levels stay in ``table``.
+
+    ``table`` is ``(position, level, rows, x_0, …)`` of all variables, written once.
+    """
+
+    variables: tuple[str, ...]
+    n: int
+    narrow: Levels
+    wide: tuple[str, ...]
+    n_levels: int
+    table: DataFrame
+
+
+def split_levels(
+    df: DataFrame, variables: Sequence[str], values: Sequence[Column] = (), dense_levels: int | None = None
+) -> SplitLevels:
+    """Count levels in one scan; variables with the fewest levels are narrow while these fit ``dense_levels``."""
+    variables = list(variables)
+    room = DENSE_LEVELS if dense_levels is None else dense_levels
+    table = written(level_rows(df, variables, values), "levels")
+    sizes = {
+        r["position"]: (r["levels"], r["rows"])
+        for r in table.groupBy("position").agg(F.count(F.lit(1)).alias("levels"), F.sum("rows").alias("rows")).collect()
+    }
+    total, narrow = 0, []
+    for q in sorted(sizes, key=lambda q: (sizes[q][0], q)):
+        total += sizes[q][0]
+        if total > room:
+            break
+        narrow.append(q)
+    names = [v for q, v in enumerate(variables) if q in narrow]
+    place = {variables.index(v): i for i, v in enumerate(names)}
+    rows = [r.asDict() for r in table.where(F.col("position").isin(*narrow)).collect()] if narrow else []
+    for r in rows:
+        r["position"] = place[r["position"]]
+    n = sizes[0][1] if sizes else 0
+    known = _collected(rows, names, len(values))
+    return SplitLevels(
+        tuple(variables),
+        n,
+        Levels(known.variables, known.names, known.rows, n, known.sums),
+        tuple(v for v in variables if v not in names) if sizes else (),
+        sum(size for size, _ in sizes.values()),
+        table,
+    )
 
 
 def pair_counts(df: DataFrame, variables: Sequence[str], n_combinations: float) -> DataFrame:
@@ -120,12 +169,13 @@ def burt_matrix(df: DataFrame, levels: Levels) -> np.ndarray:
     return burt
 
 
-def burt_table(df: DataFrame, variables: Sequence[str], max_levels: int = MAX_LEVELS) -> DataFrame:
-    """``(var_a, level_a, var_b, level_b, rows)`` for each pair of variables in table order."""
-    levels = count_levels(df, variables, max_levels=max_levels)
+def burt_table(df: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """``(var_a, level_a, var_b, level_b, rows)`` for each pair of variables in table order, for any number of levels."""
+    sizes = [F.count_distinct(level_text(df, v)) for v in variables]
+    n_combinations = math.prod(df.agg(*[s.alias(f"n_{i}") for i, s in enumerate(sizes)]).first())
     pairs = variable_pairs(variables)
     names_a, names_b = (F.array(*[F.lit(variables[p[side]]) for p in pairs]) for side in (0, 1))
-    return pair_counts(df, variables, math.prod(levels.per_variable)).select(
+    return pair_counts(df, variables, n_combinations).select(
         at(names_a, F.col("pair")).alias("var_a"),
         "level_a",
         at(names_b, F.col("pair")).alias("var_b"),
@@ -143,7 +193,7 @@ def level_weights(
 ) -> DataFrame:
     """Add, per row, the summed weights of its levels: ``carried`` columns plus one column per dimension.
 
-    Each variable is a broadcast join with its own levels; there are at most ``MAX_LEVELS`` of them in all.
+    Each variable is a broadcast join with its own levels, of which the driver holds few (``DENSE_LEVELS``).
     """
     spark = df.sparkSession
     frame = df.select(

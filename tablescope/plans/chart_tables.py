@@ -74,5 +74,5 @@ def loading_cells(spark: SparkSession, result: FactorResult) -> DataFrame:
         "loading",
         F.round("loading", 2).cast("string").alias("label"),
         (F.abs("loading") >= STRONG_LOADING).alias("strong"),
-        F.lit(f"Saturations Factorielles ({result.rotation.capitalize()})").alias("title"),
+        F.lit(f"Factor loadings, {result.rotation} rotation").alias("title"),
     )

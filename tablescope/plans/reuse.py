@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark import StorageLevel
@@ -10,9 +11,38 @@ from pyspark.sql import DataFrame, SparkSession
 REUSE = ("none", "persist", "table")
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder every executor can reach, as named by the cluster."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that every executor can reach, as the cluster names it.
+
+    Where it is unset and Spark runs inside this process, one of this machine is set.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tablescope-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, label: str = "table") -> str:
+    """A new place below the shared folder, removed when the session's process ends."""
+    location = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return location
+
+
+def remove(spark: SparkSession, location: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """The rows as a table in the shared folder: read several times, computed once, safe when executors are lost."""
+    location = new_folder(df.sparkSession, label)
+    df.write.parquet(location)
+    return df.sparkSession.read.schema(df.schema).parquet(location)
 
 
 def reusable(df: DataFrame, how: str) -> DataFrame:
@@ -21,11 +51,13 @@ def reusable(df: DataFrame, how: str) -> DataFrame:
         raise ValueError(f"reuse must be one of {REUSE}, got {how!r}")
     if how == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    if how == "table":
-        folder = shared_folder(df.sparkSession)
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        location = f"{folder.rstrip('/')}/tablescope-{uuid.uuid4().hex}"
-        df.write.parquet(location)
-        return df.sparkSession.read.parquet(location)
-    return df
+    return written(df) if how == "table" else df
+
+
+def release(df: DataFrame, how: str) -> None:
+    """Give back what ``reusable`` has taken."""
+    if how == "persist":
+        df.unpersist()
+    elif how == "table":
+        for location in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, location)

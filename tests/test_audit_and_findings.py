@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,6 +9,7 @@ from tablescope import TableAnalysis
 from tablescope.operators.correlation import CorrelationResult
 from tablescope.operators.mca import mca
 from tablescope.plans import chart_tables, findings
+from tablescope.plans import audit as audit_module
 from tablescope.plans.audit import AuditConfig, audit
 from tablescope.sources.demo import demo_table
 
@@ -17,7 +20,7 @@ def analysis(frame, two_factor):
 
 
 def test_audit_of_the_demo_table(spark):
-    table = demo_table(spark, 200, partitions=1).drop("row_id")
+    table = demo_table(spark, 240, partitions=1).drop("row_id")
     found = audit(table)
     assert found.report.imputed_values == sum(int(n) for n in table.toPandas().isna().sum())
     assert found.report.outliers_removed >= 3
@@ -29,9 +32,10 @@ def test_audit_of_the_demo_table(spark):
     strong = np.abs(found.factors.loadings) > 0.6
     names = list(found.factors.variables)
     groups = [{names[i] for i in np.flatnonzero(strong[:, k])} for k in range(2)]
-    assert {"note_annuelle", "productivite_score", "nb_projets_completes", "salaire_k_eur"} in groups
-    assert {"satisfaction_job", "nb_conges_pris", "score_engagement"} in groups
+    assert {"throughput", "power_kw", "pressure_bar"} in groups
+    assert {"vibration", "noise_db", "stops", "scrap_pct"} in groups
     assert found.description.count() == 8
+    found.release()
 
 
 def test_audit_is_reproducible(spark, frame, messy):
@@ -68,14 +72,29 @@ def test_audit_stops_on_small_tables(spark):
         audit(spark.range(0))
 
 
-def test_a_failing_section_does_not_stop_the_audit(spark):
+def test_a_failing_section_does_not_stop_the_audit(spark, monkeypatch):
+    def broken(*args, **options):
+        raise RuntimeError("executor lost\nat line 1")
+
+    monkeypatch.setattr(audit_module, "mca", broken)
+    df = spark.range(400).select(
+        "id", (F.col("id") * 17 % 397).alias("x"), (F.col("id") % 5).alias("five"), (F.col("id") % 7).alias("seven")
+    )
+    status = {s[0]: s for s in audit(df).steps}
+    assert status["mca"][1:] == ("failed", "executor lost")
+    assert status["pca"][1] == status["famd"][1] == "ok"
+
+
+def test_categories_with_thousands_of_levels(spark):
     df = spark.range(120_000).select(
-        "id", (F.col("id") * 17 % 119_993).alias("x"), (F.col("id") % 5500).alias("many"), (F.col("id") % 5400).alias("more")
+        "id", (F.col("id") * 17 % 119_993).alias("x"), (F.col("id") % 5500).alias("many"), (F.col("id") % 3).alias("three")
     )
-    found = audit(df)
-    status = {s[0]: s for s in found.steps}
-    assert status["mca"][1] == "failed" and "levels" in status["mca"][2]
-    assert status["pca"][1] == "ok"
+    found = audit(df, AuditConfig(min_unique_ratio=0.0, reuse="table"))
+    assert [s for s in found.steps if s[1] != "ok"] == []
+    assert found.mca.n_levels == 5503 and found.famd.row_coordinates.count() == 120_000
+    folder = found.clean.inputFiles()[0].rpartition("/")[0].removeprefix("file:")
+    found.release()
+    assert not Path("/" + folder.lstrip("/")).exists()
 
 
 @pytest.mark.parametrize(
@@ -120,8 +139,8 @@ def test_biplot(spark, analysis):
     arrows = chart_tables.biplot_arrows(spark, found).toPandas().set_index("variable").loc[list(found.variables)]
     np.testing.assert_allclose(arrows["x"], found.loadings[:, 0] * scale)
     np.testing.assert_allclose(arrows["label_y"], found.loadings[:, 1] * scale * 1.07)
-    assert chart_tables.biplot_points(found).count() == 150
-    assert chart_tables.biplot_points(found, 0.5).count() < 150
+    assert chart_tables.biplot_points(found).count() == 168
+    assert chart_tables.biplot_points(found, 0.5).count() < 168
 
 
 def test_scree_and_loading_cells(spark, analysis):
@@ -130,7 +149,7 @@ def test_scree_and_loading_cells(spark, analysis):
     assert [r["above_one"] for r in bars] == [v > 1 for v in found.eigenvalues]
     cells = chart_tables.loading_cells(spark, found).collect()
     assert all(c["strong"] == (abs(c["loading"]) >= 0.4) for c in cells)
-    assert cells[0]["title"] == "Saturations Factorielles (Promax)"
+    assert cells[0]["title"] == "Factor loadings, promax rotation"
 
 
 def loadings_table(spark):
@@ -191,6 +210,16 @@ def test_level_findings(spark, frame, personnel):
         for j in range(i)
     )
     np.testing.assert_allclose([r["distance"] for r in pairs], every[:4])
+    wide = mca(frame(personnel), ["grade", "site", "team"], dense_levels=3)
+    pairs = findings.closest_levels(spark, wide, 4).collect()
+    np.testing.assert_allclose([r["distance"] for r in pairs], every[:4], atol=1e-6)
+
+
+def test_sweep_equals_all_pairs():
+    points = np.random.default_rng(4).integers(0, 9, (60, 2)) / 4.0
+    every = sorted(float(np.linalg.norm(points[i] - points[j])) for i in range(60) for j in range(i))
+    for n in (1, 7, 2000):
+        np.testing.assert_allclose([d for d, *_ in findings._sweep(points, n)], every[:n])
 
 
 def test_strongest_and_rounded(spark):

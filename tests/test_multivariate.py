@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tablescope import TableAnalysis
 from tablescope.operators import levels as levels_module
-from tablescope.operators import moments as moments_module
 from tablescope.operators.correlation import normality_df
 from tablescope.operators.factors import bartlett_sphericity, kmo, minimum_residual, promax, varimax
 from tablescope.operators.famd import famd
@@ -25,23 +24,32 @@ def test_moments_equal_numpy(frame, two_factor):
     np.testing.assert_allclose(found.cov, np.cov(two_factor.T, ddof=0), atol=1e-12)
 
 
-def test_many_columns_take_the_vector_path(frame, two_factor, monkeypatch):
-    pdf = two_factor.assign(flat=2.0)
+def test_many_columns_in_one_scan(frame):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.standard_normal((90, 45)) + np.arange(45) * 1e4, columns=[f"c{i}" for i in range(45)])
+    pdf["c7"] = 2.0
     df = frame(pdf)
-    values = {c: filled(df, c) for c in pdf}
-    plain = cross_moments(df, values)
-    monkeypatch.setattr(moments_module, "EXPRESSION_COLUMNS", 2)
-    wide = cross_moments(df, values)
-    np.testing.assert_allclose(wide.cov, plain.cov, atol=1e-10)
-    np.testing.assert_allclose(wide.mean, plain.mean, atol=1e-12)
-    assert wide.n == plain.n and list(wide.constant) == list(plain.constant) == [False] * 5 + [True]
+    found = cross_moments(df, {c: filled(df, c) for c in pdf})
+    np.testing.assert_allclose(found.cov, np.cov(pdf.T, ddof=0), atol=1e-9)
+    np.testing.assert_allclose(found.mean, pdf.mean(), rtol=1e-14)
+    assert found.n == 90 and np.flatnonzero(found.constant).tolist() == [7]
+    nothing = cross_moments(df.limit(0), {"c0": filled(df, "c0")})
+    assert nothing.n == 0
+
+
+@pytest.mark.parametrize("columns", [3, 41])
+def test_a_missing_cell_among_many_columns(frame, columns):
+    pdf = pd.DataFrame({f"c{i}": np.arange(30) * (i + 1.5) % 11 for i in range(columns)})
+    pdf.loc[4, "c1"] = np.nan
+    with pytest.raises(ValueError, match=r"missing cells: \['c1'\]"):
+        famd(frame(pdf.assign(kind=list("abc") * 10)), [f"c{i}" for i in range(columns)], ["kind"])
 
 
 def test_large_offsets_do_not_lose_digits(frame, two_factor):
-    pdf = two_factor[["a", "b"]] * 1e-3 + 1e6
+    pdf = two_factor[["u1", "u2"]] * 1e-3 + 1e6
     df = frame(pdf)
     found = cross_moments(df, {c: filled(df, c) for c in pdf})
-    assert found.correlation()[0, 1] == pytest.approx(two_factor["a"].corr(two_factor["b"]), abs=1e-6)
+    assert found.correlation()[0, 1] == pytest.approx(0.96 * 0.9, abs=1e-6)
 
 
 def test_missing_cells_are_refused_by_moments(frame):
@@ -64,11 +72,11 @@ def test_normal_columns_choose_pearson(spark, frame, two_factor):
     result = TableAnalysis(frame(two_factor)).correlation()
     assert result.method == ("pearson" if result.all_normal else "spearman")
     assert {r.variable for r in result.normality} == set(two_factor)
-    skewed = TableAnalysis(frame(two_factor.assign(f=np.exp(two_factor["a"] * 2)))).correlation()
+    skewed = TableAnalysis(frame(two_factor.assign(f=np.exp(two_factor["u1"] * 2)))).correlation()
     assert skewed.method == "spearman" and not skewed.all_normal
     table = {r["variable"]: r for r in normality_df(spark, skewed.normality).collect()}
     assert not table["f"]["is_normal"] and 0 < table["f"]["w"] < 1
-    assert round(table["a"]["p_value"], 4) == table["a"]["p_value"]
+    assert round(table["u1"]["p_value"], 4) == table["u1"]["p_value"]
 
 
 @pytest.mark.parametrize("n", [2, 5001])
@@ -86,7 +94,7 @@ def test_correlation_tables(spark, frame, two_factor):
     cells = result.significant_df(spark)
     assert cells.count() == 10
     shown = {(r["var_i"], r["var_j"]): r["r"] for r in cells.collect()}
-    assert shown[("b", "a")] == pytest.approx(two_factor["a"].corr(two_factor["b"]))
+    assert shown[("u2", "u1")] == pytest.approx(0.96 * 0.9)
     with pytest.raises(ValueError):
         TableAnalysis(frame(two_factor)).correlation("kendall")
 
@@ -94,7 +102,7 @@ def test_correlation_tables(spark, frame, two_factor):
 # ---- principal components ----------------------------------------------------------------------------------------
 
 def test_pca_equals_singular_values(frame, two_factor):
-    analysis = TableAnalysis(frame(two_factor.assign(row=range(150))), key=["row"])
+    analysis = TableAnalysis(frame(two_factor.assign(row=range(168))), key=["row"])
     found = analysis.pca()
     z = (two_factor - two_factor.mean()) / two_factor.std(ddof=0)
     u, s, vt = np.linalg.svd(z.to_numpy(), full_matrices=False)
@@ -271,7 +279,7 @@ def test_flat_columns_leave_the_factor_analysis(frame, two_factor):
 
 
 def test_collinear_columns_do_not_fail(frame, two_factor):
-    found = TableAnalysis(frame(two_factor.assign(twice=two_factor["a"] * 2))).factor_analysis(n_factors=2)
+    found = TableAnalysis(frame(two_factor.assign(twice=two_factor["u1"] * 2))).factor_analysis(n_factors=2)
     assert found.loadings.shape == (6, 2) and np.isfinite(found.loadings).all()
 
 
@@ -338,8 +346,54 @@ def test_mca_arguments(frame, personnel):
         mca(df, ["grade", "absent"])
     assert mca(df, ["grade", "site"], n_components=5).n_components == 1
     assert mca(df, ["grade", "site", "team", "absent"], n_components=5).n_components == 2
-    with pytest.raises(ValueError, match="more than 4 levels"):
-        mca(df, ["grade", "site"], max_levels=4)
+
+
+@pytest.mark.parametrize("dense_levels", [6, 4, 3, 2])
+def test_wide_variables_give_the_same_mca(frame, personnel, dense_levels):
+    """One, two, then all variables too wide for the dense matrix."""
+    names, df = ["grade", "site", "team"], frame(personnel)
+    whole, split = mca(df, names, key=["id"]), mca(df, names, key=["id"], dense_levels=dense_levels)
+    assert split.wide is not None and split.n_levels == whole.n_levels == 8
+    np.testing.assert_allclose(split.eigenvalues, whole.eigenvalues, rtol=1e-8)
+    assert split.total_inertia == pytest.approx(whole.total_inertia)
+    for table, order, shown in (
+        ("levels", ["variable", "level", "dim"], ["coordinate", "mass"]), ("rows", ["id"], ["Dim1", "Dim2"]),
+    ):
+        a, b = (
+            (r.row_coordinates if table == "rows" else r.levels_df(df.sparkSession)).toPandas().sort_values(order)
+            for r in (whole, split)
+        )
+        np.testing.assert_allclose(b[shown], a[shown], atol=1e-6)
+        assert list(a.columns) == list(b.columns)
+
+
+@pytest.mark.parametrize("dense_levels", [6, 3, 1])
+def test_wide_variables_give_the_same_famd(frame, personnel, dense_levels):
+    numbers, names, df = ["pay", "score"], ["grade", "site", "team"], frame(personnel)
+    whole = famd(df, numbers, names, n_components=3, key=["id"])
+    split = famd(df, numbers, names, n_components=3, key=["id"], dense_levels=dense_levels)
+    np.testing.assert_allclose(split.eigenvalues, whole.eigenvalues, rtol=1e-8)
+    assert split.total_inertia == pytest.approx(whole.total_inertia)
+    np.testing.assert_allclose(split.relationships, whole.relationships, atol=1e-6)
+    np.testing.assert_allclose(split.continuous_coordinates, whole.continuous_coordinates, atol=1e-6)
+    dims = ["Dim1", "Dim2", "Dim3"]
+    a, b = (r.row_coordinates.toPandas().sort_values("id")[dims] for r in (whole, split))
+    np.testing.assert_allclose(b, a, atol=1e-6)
+    order = ["variable", "level", "dim"]
+    a, b = (r.columns_df(df.sparkSession).toPandas().sort_values(order)["coordinate"] for r in (whole, split))
+    np.testing.assert_allclose(b, a, atol=1e-6)
+
+
+def test_levels_that_grow_with_the_rows(spark):
+    """A category of one level in three rows, with a level that holds a third of all rows."""
+    df = spark.range(9000).select(
+        "id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id").cast("long") / 6).cast("long").alias("many"),
+        (F.col("id") % 4).alias("four"), (F.col("id") * 7 % 101 / 3.0).alias("x"),
+    )
+    found = famd(df, ["x"], ["many", "four"], key=["id"], dense_levels=100)
+    rows = found.row_coordinates.agg(F.count("*").alias("n"), F.var_pop("Dim1").alias("a"), F.avg("Dim2").alias("b")).first()
+    assert rows["n"] == 9000 and rows["a"] == pytest.approx(found.eigenvalues[0]) and abs(rows["b"]) < 1e-8
+    assert found.total_inertia == pytest.approx(1 + found.wide.select("level").distinct().count() + 4 - 2)
 
 
 def test_missing_cells_are_a_level(spark):

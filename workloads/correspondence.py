@@ -82,6 +82,32 @@ def mca_chi_square(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(small_table(spark, [(float((2 * found.eigenvalues[0] - 1) ** 2),)], "association double"))
 
 
+# The orders, thousands of levels, against two bands: the only canonical correlation s is the square root of the variance
+# of the share of 'large' between orders over p (1 - p).
+MANY_LEVELS = f"""
+t AS ({BAND_LINES}),
+p AS (SELECT avg(CASE WHEN net_band = 'large' THEN 1.0e0 ELSE 0.0e0 END) AS p FROM t),
+g AS (SELECT l_orderkey, avg(CASE WHEN net_band = 'large' THEN 1.0e0 ELSE 0.0e0 END) AS a, count(*) AS n FROM t GROUP BY 1),
+s AS (SELECT sqrt(sum(n * (a - p) * (a - p)) / sum(n) / any_value(p * (1 - p))) AS s FROM g, p),
+ga AS (SELECT l_orderkey, n, (a - p) / sqrt(p * (1 - p)) / s AS g FROM g, p, s),
+gb AS (SELECT 'large' AS b, sqrt((1 - p) / p) AS g, p AS share FROM p
+       UNION ALL SELECT 'small', -sqrt(p / (1 - p)), 1 - p FROM p),
+flip AS (SELECT sign(arg_max(g, abs(g) * sqrt(share))) AS f FROM gb)
+"""
+
+
+@query(
+    f"""WITH {MANY_LEVELS} SELECT t.l_orderkey, l_linenumber, {r('(ga.g + gb.g) / 2 * f', 'Dim1', 5)},
+    {r('(1 + s) / 2', 'eigenvalue')}
+    FROM t JOIN ga ON ga.l_orderkey = t.l_orderkey JOIN gb ON gb.b = net_band, flip, s"""
+)
+def mca_many_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates of every row with the orders as levels of one variable."""
+    found = mca(derived(spark, sf_dir, BAND_LINES), ("l_orderkey", "net_band"), key=KEY)
+    rows = found.row_coordinates.withColumn("eigenvalue", F.lit(float(found.eigenvalues[0])))
+    return rounded(rows, 5, eigenvalue=6)
+
+
 FOUR_WAY = ("price_band", "net_band", "l_returnflag", "l_linestatus")
 
 
@@ -95,7 +121,7 @@ FOUR_WAY = ("price_band", "net_band", "l_returnflag", "l_linestatus")
 def mca_total_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eigenvalues of four variables add up to levels / variables - 1."""
     found = mca(derived(spark, sf_dir, BAND_LINES), FOUR_WAY)
-    row = (len(found.levels), found.total_inertia, float(found.all_eigenvalues.sum()))
+    row = (found.n_levels, found.total_inertia, float(found.all_eigenvalues.sum()))
     return rounded(small_table(spark, [row], "n_levels int, total_inertia double, eigenvalue_sum double"))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescope.functions.workers import import_path
 from tablescope.sources.catalog import register, run_query
 
 TABLES = (
@@ -31,6 +32,7 @@ def query(sql: str | None = None):
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    import_path(spark)
     return register(spark, name, f"{sf_dir}/{name}.parquet")
 
 

@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.functions.tables import small_table
-from tablescope.plans.reuse import shared_folder
+from tablescope.plans.reuse import new_folder
 from tablescope.sources.catalog import default_query, list_tables, preview, run_query, shape, write_table
 from tablescope.sources.csv_files import location_label, read_csv, write_csv
 from workloads.registry import GAPPY_LINES, TABLES, derived, load, query
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one; a machine-local one only where the session runs on this machine."""
-    shared = shared_folder(spark)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        return tempfile.mkdtemp(prefix="tablescope-")
-    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}-{spark.sql('SELECT uuid()').first()[0]}"
-
-
 LINES = """
 SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag,
        CAST(CAST(l_shipdate AS DATE) AS VARCHAR(10)) AS shipdate
@@ -56,7 +44,7 @@ def csv_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'customers.csv' AS label, c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def csv_from_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read from a location string; the label is its last segment."""
-    location = "file:" + new_folder(spark) + "/customers.csv"
+    location = new_folder(spark) + "/customers.csv"
     write_csv(load(spark, sf_dir, "customer"), location, separator="\t")
     back = read_csv(spark, location)
     return back.select(
