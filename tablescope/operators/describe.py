@@ -33,22 +33,27 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     filled = frame.select(
         *[F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in slots], *[F.isnull(s).alias(f"{s}_gap") for s in slots]
     )
-    row = filled.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[
-            F.struct(
-                F.avg(s).alias("mean"),
-                F.stddev_samp(s).alias("std"),
-                F.min(s).alias("min"),
-                F.max(s).alias("max"),
-                F.skewness(s).alias("g1"),
-                F.kurtosis(s).alias("g2"),
-                F.count_if(F.col(f"{s}_gap")).alias("gaps"),
-            ).alias(s)
-            for s in slots
-        ],
-    ).first()
-    n = row["n"]
+    # one row per cell and one group per column: the aggregate stays small enough for generated code
+    cells = F.array(*[F.struct(F.col(s).alias("value"), F.col(f"{s}_gap").alias("gap")) for s in slots])
+    found = (
+        filled.select(F.posexplode(cells).alias("position", "cell"))
+        .select("position", "cell.value", "cell.gap")
+        .groupBy("position")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            F.skewness("value").alias("g1"),
+            F.kurtosis("value").alias("g2"),
+            F.count_if("gap").alias("gaps"),
+        )
+        .collect()
+    )
+    nothing = dict.fromkeys(("mean", "std", "min", "max", "g1", "g2")) | {"gaps": 0}
+    row = {s: nothing for s in slots} | {slots[r["position"]]: r.asDict() for r in found}
+    n = found[0]["n"] if found else 0
     quartiles = exact_quantiles(
         filled.select(*slots), QUARTILES, {s: (n, row[s]["min"], row[s]["max"]) for s in slots}
     )

@@ -15,7 +15,7 @@ from tablescope.functions.tables import small_table
 from tablescope.plans.reuse import written
 
 #: variables with few levels share one dense matrix of at most this many levels; the others stay in tables
-DENSE_LEVELS = 3000
+DENSE_LEVELS = 1500
 
 #: rows are first collapsed to distinct level combinations when no more than this many can exist
 MAX_COMBINATIONS = 1_000_000

@@ -290,17 +290,23 @@ def detect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH k AS (SELECT name, count(*) FILTER (WHERE kind = 'continuous') AS n_cont,
                count(*) FILTER (WHERE kind IN ('categorical', 'binary')) AS n_cat FROM ({KINDS_SQL}) GROUP BY name)
-    SELECT name, 'pca' AS method, n_cont >= 2 AS applicable FROM k
-    UNION ALL SELECT name, 'factor_analysis', n_cont >= 2 FROM k
-    UNION ALL SELECT name, 'mca', n_cat >= 2 FROM k
-    UNION ALL SELECT name, 'famd', n_cont >= 1 AND n_cat >= 1 FROM k"""
+    , a AS (SELECT name, n_cont, n_cat, 'pca' AS method, n_cont >= 2 AS applicable FROM k
+    UNION ALL SELECT name, n_cont, n_cat, 'factor_analysis', n_cont >= 2 FROM k
+    UNION ALL SELECT name, n_cont, n_cat, 'mca', n_cat >= 2 FROM k
+    UNION ALL SELECT name, n_cont, n_cat, 'famd', n_cont >= 1 AND n_cat >= 1 FROM k)
+    SELECT name, method, applicable, CASE WHEN n_cont + n_cat = 0 THEN 'no usable variable'
+        WHEN method = 'famd' THEN CASE WHEN applicable THEN 'continuous and categorical variables' ELSE 'not a mixed table' END
+        ELSE (CASE least(2, CASE WHEN method = 'mca' THEN n_cat ELSE n_cont END) WHEN 2 THEN 'two or more ' WHEN 1 THEN 'a single ' ELSE 'no ' END)
+          || (CASE WHEN method = 'mca' THEN 'categorical' ELSE 'continuous' END)
+          || (CASE least(2, CASE WHEN method = 'mca' THEN n_cat ELSE n_cont END) WHEN 2 THEN ' variables' WHEN 1 THEN ' variable, two are needed' ELSE ' variable' END)
+        END AS reason FROM a"""
 )
 def method_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = None
     for name in DETECTED:
         part = routing_df(spark, detect(load(spark, sf_dir, name))).select(F.lit(name).alias("name"), "*")
         found = part if found is None else found.unionAll(part)
-    return found.drop("reason")
+    return found
 
 
 def describe_sql(table: str, columns: tuple[str, ...]) -> str:

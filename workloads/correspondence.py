@@ -12,6 +12,7 @@ from tablescope.functions.tables import small_table
 from tablescope.operators.levels import burt_table
 from tablescope.operators.mca import mca
 from tablescope.plans.findings import closest_levels, level_extremes
+from workloads.components import three_variable_pca
 from workloads.registry import BAND_LINES, derived, load, num, query, r, rounded
 
 KEY = ("l_orderkey", "l_linenumber")
@@ -190,6 +191,36 @@ def mca_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def three_way(names: tuple[str, str, str], rows: str) -> str:
+    """CTEs of the axes of three two-level columns: those of their standardised indicators, the scores over sqrt 3.
+
+    The sign makes the largest entry over all six levels positive.
+    """
+    entries = ", ".join(f"v{i} * sqrt(1 - m{i}), -v{i} * sqrt(m{i})" for i in (1, 2, 3))
+    return f"""{three_variable_pca(rows, names)},
+    entries AS (SELECT k, unnest([{entries}]) AS entry FROM v, m),
+    flips AS (SELECT k, sign(arg_max(entry, abs(entry))) AS f FROM entries GROUP BY k)"""
+
+
+THREE_BANDS = f"""
+SELECT l_orderkey, l_linenumber, gross, CASE WHEN net_band = 'large' THEN 1.0e0 ELSE 0.0e0 END AS x,
+       CASE WHEN quantity_band = 'many' THEN 1.0e0 ELSE 0.0e0 END AS y,
+       CASE WHEN l_linestatus = 'O' THEN 1.0e0 ELSE 0.0e0 END AS z
+FROM ({BAND_LINES})
+"""
+
+
+@query(
+    f"""WITH {three_way(('x', 'y', 'z'), THREE_BANDS)} SELECT l_orderkey, l_linenumber,
+    {r('pc1 * a.f / sqrt(3)', 'Dim1', 5)}, {r('pc2 * b.f / sqrt(3)', 'Dim2', 5)}
+    FROM scores, flips a, flips b WHERE a.k = 1 AND b.k = 2"""
+)
+def mca_three_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two axes of three two-level columns for every row."""
+    found = mca(derived(spark, sf_dir, BAND_LINES), ("net_band", "quantity_band", "l_linestatus"), key=KEY)
+    return rounded(found.row_coordinates, 5)
+
+
 @query()
 def mca_four_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two axes of four variables for every row."""

@@ -143,11 +143,11 @@ def fa_factor_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{_TRIAD_SQL} SELECT variable, 'F1' AS factor, {r('loading', 'loading', 4)}, abs(loading) >= 0.4 AS strong,
-    'Saturations Factorielles (Varimax)' AS title FROM l"""
+    CAST(round(loading, 2) AS VARCHAR) AS label, 'Factor loadings, varimax rotation' AS title FROM l"""
 )
 def fa_loading_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = loading_cells(spark, _triad(spark, sf_dir).factor_analysis(n_factors=1))
-    return rounded(found.drop("label"), 4)
+    return rounded(found, 4)
 
 
 @query(

@@ -182,7 +182,7 @@ def method_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM long a JOIN long b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i"""
 )
 def pearson_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64 columns: too many for expressions, so the products come from dense vectors."""
+    """64 columns."""
     table = load(spark, sf_dir, "embeddings")
     width = table.select(F.max(F.size("embedding"))).first()[0]
     wide = table.select(*[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(width)])
