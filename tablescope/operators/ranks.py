@@ -30,8 +30,9 @@ def average_ranks(
     """(rows, DataFrame of ``key`` and one rank column per value).
 
     Counting scans place each column's rows in ascending bins. Where every bin is one value the rank is looked
-    up. Otherwise rows are shuffled once by bin and ranked inside it, starting from the rows below the bin.
-    A frequent value has its own bin whose rank is known beforehand; its rows are spread over many tasks.
+    up. All other cells are shuffled once by column and bin and ranked inside it, starting from the rows below the bin,
+    and once more to meet in their rows. A frequent value has its own bin whose rank is known beforehand; its cells are
+    spread over many tasks.
     """
     names = list(values)
     slot = {n: f"__v{i}" for i, n in enumerate(names)}
@@ -63,23 +64,53 @@ def average_ranks(
             ranks[c] = at(double_array([s + (x.rows + 1) / 2.0 for s, x in zip(below, b)]), F.col(f"{c}_bin"))
         frame = frame.withColumns(ranks).drop(*[f"{c}_bin" for c in lookup])
 
+    ordered = {c: b for c, b in bins.items() if c not in lookup}
+    if ordered:
+        kept = [*key, *[c for c in slot.values() if c not in ordered]]
+        frame = _ranked(frame, ordered, kept, limit)
+    return n_rows, frame.select(*[col(k) for k in key], *[F.col(slot[n]).alias(n) for n in names])
+
+
+def _ranked(frame: DataFrame, bins: Mapping[str, Sequence], kept: Sequence[str], limit: int) -> DataFrame:
+    """``kept`` columns and the rank of each column of ``bins``: two shuffles, however many columns there are.
+
+    Each cell travels alone to its column's bin, the first cell of a row with the kept columns; the ranked cells of a row
+    meet again by its number.
+    """
+    columns = list(bins)
+    frame = bucket_columns(frame, {c: [x.low for x in b] for c, b in bins.items()})
+    cells = []
     for c, b in bins.items():
-        if c in lookup:
-            continue
-        below = list(accumulate((x.rows for x in b), initial=0))[:-1]
-        frame = bucket_columns(frame, {c: [x.low for x in b]})
         index = F.col(f"{c}_bin")
+        below = list(accumulate((x.rows for x in b), initial=0))[:-1]
+        known = at(double_array([s + (x.rows + 1) / 2.0 if x.single else -1.0 for s, x in zip(below, b)]), index)
+        # ranks known beforehand need no ordering: those rows only travel, so they are dealt out evenly
         parts = [max(1, -(-x.rows // limit)) if x.single else 1 for x in b]
-        keys = [f"{c}_bin"]
+        part = F.lit(0).cast("bigint")
         if max(parts) > 1:
-            # ranks known beforehand need no ordering: those rows only travel, so they are dealt out evenly
-            spread = F.xxhash64(*frame.columns) + F.spark_partition_id()
-            frame = frame.withColumn(f"{c}_part", F.pmod(spread, at(double_array(parts), index).cast("bigint")))
-            keys.append(f"{c}_part")
-        inside = Window.partitionBy(*keys).orderBy(c)
-        known = at(double_array([s + (x.rows + 1) / 2.0 if x.single else -1.0 for s, x in zip(below, b)]), index)
-        start = at(double_array(below), index)
-        # first and last place among the equal values; their mean is the average rank
-        places = F.rank().over(inside) + F.count(F.lit(1)).over(inside)
-        frame = frame.withColumn(c, F.when(known > 0, known).otherwise(start + places / F.lit(2.0))).drop(*keys)
-    return n_rows, frame.select(*[col(k) for k in key], *[F.col(slot[n]).alias(n) for n in names])
+            part = F.pmod(F.col("__row"), at(double_array(parts), index).cast("bigint"))
+        cells.append(
+            F.struct(
+                F.col(c).alias("value"), index.alias("bin"), part.alias("part"), known.alias("known"),
+                at(double_array(below), index).alias("below"),
+            )
+        )
+    # the task's number in the upper bits, the row's place in the lower ones: mixed, so that parts come out even
+    numbered = frame.withColumn("__row", F.monotonically_increasing_id())
+    carried = F.struct(F.lit(True).alias("__held"), *[col(k) for k in kept])
+    long = numbered.select("__row", carried.alias("kept"), F.posexplode(F.array(*cells)).alias("position", "cell")).select(
+        "__row", F.when(F.col("position") == 0, F.col("kept")).alias("kept"), "position", "cell.*"
+    )
+    inside = Window.partitionBy("position", "bin", "part").orderBy("value")
+    # first and last place among the equal values; their mean is the average rank
+    places = F.rank().over(inside) + F.count(F.lit(1)).over(inside)
+    rank = F.when(F.col("known") > 0, F.col("known")).otherwise(F.col("below") + places / F.lit(2.0))
+    met = (
+        long.select("__row", "kept", "position", rank.alias("rank"))
+        .groupBy("__row")
+        .agg(
+            F.first("kept", ignorenulls=True).alias("kept"),
+            *[F.max(F.when(F.col("position") == i, F.col("rank"))).alias(c) for i, c in enumerate(columns)],
+        )
+    )
+    return met.select(*[F.col("kept").getField(k).alias(k) for k in kept], *columns)

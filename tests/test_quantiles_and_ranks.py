@@ -111,12 +111,12 @@ def test_ranks_of_nothing(frame):
     assert (n, ranks.count()) == (0, 0)
 
 
-def test_rank_plan_has_one_shuffle_per_ranked_column(frame):
+def test_looked_up_ranks_are_not_shuffled(frame):
     pdf = hostile(3000)[["normal", "whole"]]
     df = frame(pdf)
     _, ranks = average_ranks(df, {c: F.col(c) for c in pdf}, task_rows=100)
     plan = ranks._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(__v") == 1  # the nine whole values are looked up
+    assert plan.count("Exchange hashpartitioning(position") == 1 and "position#" in plan  # nine values are looked up
     assert plan.count("Window [") == 1
 
 
@@ -135,3 +135,15 @@ def test_mode_takes_the_smallest_of_ties(frame):
     df = frame(pd.DataFrame({"x": [3.0, 3.0, -1.0, -1.0, 8.0], "k": [5, 4, 4, 5, 9]}))
     found = value_summary(df, ["x", "k"])
     assert (found["x"].mode, found["k"].mode) == (-1.0, 4)
+
+
+def test_eight_columns_are_ranked_in_two_shuffles(frame):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({f"c{i}": np.round(rng.standard_normal(900) * 50, i % 3) for i in range(8)})
+    pdf["c3"] = np.where(pdf.index % 3 == 0, 1.5, pdf["c3"])  # a third of the rows share one value
+    df = frame(pdf.assign(row=range(900)))
+    _, ranks = average_ranks(df, {c: F.col(c) for c in pdf}, key=["row"], task_rows=50)
+    plan = ranks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    found = ranks.toPandas().sort_values("row")[list(pdf)].to_numpy()
+    np.testing.assert_allclose(found, pdf.rank().to_numpy())
