@@ -14,6 +14,7 @@ from tablescope.llm.shared import import_path, written
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go."""
+    import_path(spark)
     chain = toxicity_chain.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity_chain.without_toxic(docs, chain)
 
@@ -51,7 +52,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import_path(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)

@@ -2,54 +2,27 @@
 
 from __future__ import annotations
 
-import os
 import posixpath
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablescope.functions.workers import import_path
+from tablescope.plans.reuse import new_folder, written
+
+__all__ = [
+    "SPACE_CLASS", "WORD_CLASS", "as_text", "import_path", "join_path", "new_folder", "open_store", "slices", "utf8",
+    "written",
+]
+
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where Spark runs in this process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="tablescope-llm-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def import_path(spark: SparkSession) -> None:
-    """Let Python workers of this machine import the package wherever the session was started."""
-    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    known = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in known:
-        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *known]))
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: the lineage ends here and survives lost executors."""
-    folder = new_folder(df.sparkSession, label)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def open_store(uri: str):
     """File system and path of a URI, for range reads inside tasks."""
     from pyarrow import fs
