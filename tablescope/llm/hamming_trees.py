@@ -37,6 +37,8 @@ RADIUS = 2
 SHARD_ROWS = 20_000
 SAMPLE_ROWS = 65_536
 BLOCK = 256
+#: rows of two numbers that may go to every task
+SMALL_TABLE = 2_000_000
 
 #: Byte b spread over eight byte lanes, its lowest bit in the lowest lane.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
@@ -232,28 +234,28 @@ def hex_digits(fp) -> F.Column:
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the document with the smallest key, once.
 
-    Components without any key keep one row as well.
+    Keys that leave are sent to every task while there are ``SMALL_TABLE`` of them at most, so that texts are not
+    shuffled; beyond that both sides are sorted. Rows without a key, and keys on several rows, are decided by their
+    texts: one row stays of each component that has no other key, or whose smallest key is theirs.
     """
     kept = docs.columns
     found = written(document_components(docs, key, text, **how), "members")
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "group_fp").count()
-    ids = written(chosen.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), "count"), "chosen")
-    single = docs.join(ids.where("count = 1"), F.col(key) == F.col("__id"), "left_semi")
-    twice = ids.where("count > 1")
-    parts = [single]
-    if not twice.isEmpty():
-        parts.append(docs.join(twice, F.col(key) == F.col("__id"), "left_semi").dropDuplicates([key]))
-    nameless = chosen.where("doc_id IS NULL").select(F.col("group_fp").alias("__group"))
-    if not nameless.isEmpty():
-        rows = docs.where(F.col(key).isNull()).withColumn("__text", as_text(text))
-        groups = found.where("doc_id IS NULL").select("fp", "group_fp").distinct()
-        hashed = fingerprints(rows.dropDuplicates(["__text"]).select(F.col("__text").alias("doc_id"), "__text"), "doc_id", "__text", how.get("width", SHINGLE))
-        members = hashed.join(groups, "fp").join(nameless, F.col("group_fp") == F.col("__group"), "left_semi")
-        first = members.groupBy("group_fp").agg(F.min("doc_id").alias("__first"))
-        parts.append(
-            rows.join(first, F.col("__text") == F.col("__first"), "left_semi").dropDuplicates(["__text"]).select(*kept)
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*kept)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    counted = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    odd = F.col("doc_id").isNull() | (F.col("n") > 1)
+    away = written(counted.where(odd | ~F.col("first")).select(F.col("doc_id").alias("__id"), odd.alias("odd")), "away")
+    gone = away.where("__id IS NOT NULL").select("__id")
+    if away.count() <= SMALL_TABLE:
+        gone = F.broadcast(gone)
+    plain = docs.where(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("__id"), "left_anti")
+    unclear = away.where("odd").select("__id")
+    if unclear.isEmpty():
+        return plain.select(*kept)
+    rows = docs.join(unclear, F.col(key).eqNullSafe(F.col("__id")), "left_semi").withColumn("__text", as_text(text))
+    texts = rows.select(F.col("__text").alias("id"), F.col("__text").alias("text")).distinct()
+    groups = found.select("fp", "group_fp", "component_id").distinct()
+    marked = fingerprints(texts, "id", "text", how.get("width", SHINGLE)).join(groups, "fp").select(
+        F.col("doc_id").alias("__same"), F.col("group_fp").alias("__group"), F.col("component_id").alias("__first")
+    )
+    picked = rows.join(marked, F.col("__text") == F.col("__same")).where(F.col(key).eqNullSafe(F.col("__first")))
+    return plain.select(*kept).unionByName(picked.dropDuplicates(["__group"]).select(*kept))

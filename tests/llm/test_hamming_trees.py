@@ -153,6 +153,15 @@ def test_one_of_each(spark):
     assert len(ids) == len(set(ids)) and set(ids) == wanted
 
 
+def test_one_of_each_with_repeated_and_missing_keys(spark):
+    far = ["sun rain wind " * 50, "fog hail snow " * 50, "mist ice storm " * 50]
+    rows = [(5, far[0]), (5, far[0]), (5, far[1]), (7, far[1]), (None, far[0]), (None, far[2]), (None, far[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.text[:3]) for r in H.one_of_each(docs).collect())
+    assert got == [(0, "mis"), (5, "fog"), (5, "sun")]
+    assert H.one_of_each(docs.limit(0)).collect() == []
+
+
 def test_hexadecimal(spark):
     row = spark.createDataFrame([(-1,), (10,)], "fp long").select(H.hex_digits("fp").alias("x"), F.lit(1)).collect()
     assert [r.x for r in row] == ["f" * 16, "000000000000000a"]
