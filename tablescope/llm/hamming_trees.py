@@ -20,7 +20,7 @@ part; a component of such rows alone has a NULL id. Repeated rows are returned a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -44,19 +44,30 @@ SMALL_TABLE = 2_000_000
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    """Majority of the hashes' bits over all shingles of ``width`` words, repeats included; zero without words."""
+def shingle_hashes(text: bytes, width: int = SHINGLE) -> np.ndarray:
+    """Hashes of all shingles of ``width`` words, repeats included; shorter texts are one shingle, blank ones none."""
     words = text.lower().split()  # of bytes: A to Z only, and blanks as SPACE_CLASS has them
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), dtype="<u8")
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; zero without hashes."""
+    if not len(hashes):
+        return 0
     lanes = _LANES[hashes.view(np.uint8).reshape(-1, 8)]
     # a lane holds sums up to 255
     sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * sums > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    """Majority of the hashes' bits over all shingles of ``width`` words, repeats included; zero without words."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
     """Rows (doc_id, fp); ``fp`` holds the 64 bits as a signed number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +249,19 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     shuffled; beyond that both sides are sorted. Rows without a key, and keys on several rows, are decided by their
     texts: one row stays of each component that has no other key, or whose smallest key is theirs.
     """
-    kept = docs.columns
     found = written(document_components(docs, key, text, **how), "members")
+    width = how.get("width", SHINGLE)
+    return keep_first(docs, found, lambda texts: fingerprints(texts, "id", "text", width), key, text)
+
+
+def keep_first(
+    docs: DataFrame, found: DataFrame, marks: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row of each component of ``found``, whose columns are those of ``document_components``.
+
+    ``marks`` gives for rows (id, text) their ``fp`` as rows (doc_id, fp).
+    """
+    kept = docs.columns
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     counted = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(first).alias("first"))
     odd = F.col("doc_id").isNull() | (F.col("n") > 1)
@@ -254,7 +276,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     rows = docs.join(unclear, F.col(key).eqNullSafe(F.col("__id")), "left_semi").withColumn("__text", as_text(text))
     texts = rows.select(F.col("__text").alias("id"), F.col("__text").alias("text")).distinct()
     groups = found.select("fp", "group_fp", "component_id").distinct()
-    marked = fingerprints(texts, "id", "text", how.get("width", SHINGLE)).join(groups, "fp").select(
+    marked = marks(texts).join(groups, "fp").select(
         F.col("doc_id").alias("__same"), F.col("group_fp").alias("__group"), F.col("component_id").alias("__first")
     )
     picked = rows.join(marked, F.col("__text") == F.col("__same")).where(F.col(key).eqNullSafe(F.col("__first")))

@@ -1,0 +1,202 @@
+"""Near copies: texts whose sets of shingles of ``WIDTH`` words have a Jaccard similarity of 0.8 and more.
+
+Texts are lower-cased (A to Z) and split at blanks; a text of fewer words is one shingle, and blank texts are equal.
+Shingles are compared by 64-bit hashes. Equal texts are one node. Every link is verified on the full sets, and no pair
+is missed: candidates come from two sources.
+
+- Fingerprints close to each other (``hamming_trees``). They gather the copies that differ in a bit or two.
+- Prefixes. Two sets of similarity 0.8 share four fifths of the larger one, so in any order of shingles that both use,
+  the first n - ceil(0.8 n) + 1 of each hold a common one. The order puts shingles that a sample of texts repeats last,
+  so that lines which many texts have make few candidates; the sample decides nothing else.
+
+Two sets of n and m shingles with c common ones in their prefixes of p and q have c + max(n - p, m - q) in common at
+most, which leaves few false candidates.
+
+A group of m copies must not give m * m candidates. So each node first meets only a few nodes of the places it shares
+with others, and verified links become components; afterwards only pairs of different components that still share a
+prefix shingle are compared, all of them.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tablescope.llm import hamming_trees
+from tablescope.llm.shared import as_text, slices, utf8, written
+
+WIDTH = 5
+SAMPLE_TEXTS = 5_000
+COMMON = 100_000
+#: how many others each node of a group meets at first
+PIVOTS = 8
+
+
+def similar(common: Column, n: Column, m: Column) -> Column:
+    """Whether two sets of n and m shingles with so many in common have a similarity of 0.8 at least."""
+    return 9 * common >= 4 * (n + m)
+
+
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """Distinct hashes in order; blank texts have one shingle, the same for all."""
+    return np.unique(hashes) if len(hashes) else np.zeros(1, dtype="<u8")
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set: those not in ``common`` by their hashes, then the others by ``rank``."""
+    n = len(shingles)
+    first = n - (4 * n + 4) // 5 + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        shingles = shingles[np.argsort(np.where(common[at] == shingles, rank[at], 0), kind="stable")]
+    return shingles[:first]
+
+
+def lists(found: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found).view(np.int64)))
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """Rows (id, shingles) of rows (id, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = [shingle_set(hamming_trees.shingle_hashes(t, WIDTH)) for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists(found)], names=["id", "shingles"])
+
+    return texts.mapInArrow(run, "id bigint, shingles array<bigint>")
+
+
+def repeated_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a bounded sample hold, in order, and their ranks from 1 by frequency."""
+    million = 1_000_003
+    share = min(1.0, SAMPLE_TEXTS / max(texts.count(), 1))
+    sample = texts.where(F.pmod("id", F.lit(million)) < F.lit(round(share * million))).dropDuplicates(["id"])
+    counted = shingle_sets(sample).select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 2")
+    rows = counted.orderBy(F.desc("count"), "s").limit(COMMON).collect()
+    found = np.array([r.s for r in reversed(rows)], dtype=np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], order + 1
+
+
+def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (doc_id, id, fp, n, first): a text's node, fingerprint, number of shingles, and prefix."""
+    texts = docs.select(F.col(key).alias("key"), as_text(text).alias("text")).withColumn("id", F.xxhash64("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(repeated_shingles(texts.select("id", "text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, rank = shared.value
+        for batch in slices(batches, "text"):
+            hashes = [hamming_trees.shingle_hashes(t, WIDTH) for t in utf8(batch.column("text"))]
+            sets = [shingle_set(h) for h in hashes]
+            prints = np.array([hamming_trees.majority(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key"), batch.column("id"), pa.array(prints),
+                    pa.array([len(s) for s in sets], pa.int64()), lists([prefix(s, common, rank) for s in sets]),
+                ],
+                names=["doc_id", "id", "fp", "n", "first"],
+            )
+
+    kind = docs.schema[key].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, id bigint, fp bigint, n bigint, first array<bigint>")
+
+
+def places(found: DataFrame) -> DataFrame:
+    """Rows (s, id, n): prefix shingles of more than one node, and these nodes."""
+    each = found.select(F.explode("first").alias("s"), "id", "n")
+    several = each.groupBy("s").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("s")
+    return each.join(several, "s").distinct()
+
+
+def close_prints(found: DataFrame) -> DataFrame:
+    """Candidates (a, b): each node with the first of its fingerprint, and those of linked fingerprints."""
+    nodes = found.select("id", "fp").distinct()
+    points = written(nodes.groupBy("fp").agg(F.min("id").alias("first_id")), "points")
+    same = nodes.join(points, "fp").select(F.col("id").alias("a"), F.col("first_id").alias("b"))
+    near = hamming_trees.near_links(points)
+    near = near.join(points.select(F.col("fp").alias("a"), F.col("first_id").alias("x")), "a")
+    near = near.join(points.select(F.col("fp").alias("b"), F.col("first_id").alias("y")), "b")
+    return same.unionAll(near.select("x", "y"))
+
+
+def with_labels(at: DataFrame, labels: DataFrame) -> DataFrame:
+    """``at`` with the component of each node, and without the shingles that one component has for itself."""
+    named = at.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    open_ = named.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("s")
+    return named.join(open_, "s")
+
+
+def likely(pairs: DataFrame, counted: int = 1) -> DataFrame:
+    """Candidates (a, b) of rows (a, n, b, m), one for each shingle that two prefixes share, or for each ``counted``-th.
+
+    The smaller set has four fifths of the larger one at least, and the prefixes have enough in common.
+    """
+    pairs = pairs.where("5 * n >= 4 * m AND 5 * m >= 4 * n").groupBy("a", "n", "b", "m").agg(F.count("*").alias("c"))
+    rest = lambda n: F.floor((4 * F.col(n) + 4) / 5) - 1
+    bound = F.col("c") * F.lit(counted) + F.greatest(rest("n"), rest("m"))
+    return pairs.where(similar(bound, F.col("n"), F.col("m"))).select("a", "b")
+
+
+def few_pairs(named: DataFrame) -> DataFrame:
+    """Candidates (a, b): at each shingle every node with one of them, the same for an eighth of a group's shingles."""
+    lot = F.xxhash64("id", F.pmod("s", F.lit(PIVOTS)))
+    chosen = named.groupBy("s").agg(F.min(F.struct(lot.alias("lot"), "id", "n", "label")).alias("p"))
+    pairs = named.join(chosen, "s").where(F.col("label") != F.col("p.label"))
+    return likely(pairs.select(F.col("id").alias("a"), "n", F.col("p.id").alias("b"), F.col("p.n").alias("m")), 2 * PIVOTS)
+
+
+def all_pairs(named: DataFrame) -> DataFrame:
+    """Candidates (a, b): all pairs of nodes of different components that share enough prefix shingles."""
+    one = named.select("s", F.col("id").alias("a"), "n", F.col("label").alias("x"))
+    other = named.select("s", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("y"))
+    return likely(one.join(other, "s").where("a < b AND x <> y"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar. Texts are read again, those of candidates only."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    pairs = written(pairs, "candidates")
+    needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
+    if needed.count() <= hamming_trees.SMALL_TABLE:
+        needed = F.broadcast(needed)
+    sets = written(shingle_sets(texts.join(needed, "id", "left_semi").dropDuplicates(["id"])), "shingle-sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
+    return both.where(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
+
+
+def document_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, fp, group_fp, component_id) as ``document_components`` has them; ``fp`` is the text's node."""
+    texts = docs.select(as_text(text).alias("text")).select(F.xxhash64("text").alias("id"), "text")
+    found = written(signatures(docs, key, text), "signatures")
+    at = written(places(found), "places")
+    links = [written(verified(close_prints(found), texts), "links")]
+    labels = hamming_trees.components(links[0])
+    for pairs in (few_pairs, all_pairs):
+        links.append(written(verified(pairs(written(with_labels(at, labels), "open")), texts), "links"))
+        labels = hamming_trees.components(reduce(DataFrame.unionAll, links))
+    nodes = found.groupBy(F.col("id").alias("fp")).agg(F.min("doc_id").alias("first_id"))
+    grouped = written(
+        nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
+            "fp", "first_id", F.coalesce("label", "fp").alias("group_fp")
+        ),
+        "grouped",
+    )
+    smallest = grouped.groupBy("group_fp").agg(F.min("first_id").alias("component_id"))
+    named = grouped.select("fp", "group_fp").join(smallest, "group_fp")
+    return found.select("doc_id", F.col("id").alias("fp")).join(named, "fp").select(
+        "doc_id", "fp", "group_fp", "component_id"
+    )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the document with the smallest key, once."""
+    found = written(document_groups(docs, key, text), "members")
+    mark = lambda texts: texts.select(F.col("id").alias("doc_id"), F.xxhash64("text").alias("fp"))
+    return hamming_trees.keep_first(docs, found, mark, key, text)

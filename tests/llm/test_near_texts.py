@@ -1,0 +1,90 @@
+"""Near copies against brute-force Jaccard similarity."""
+
+import random
+
+import pyarrow.parquet as pq
+
+import corpus_pipeline
+from tablescope.llm import near_texts as N
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def slow_groups(texts):
+    """The first place of each text's group."""
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            n = len(x) + len(sets[j])
+            if 9 * min(len(x), len(sets[j])) >= 4 * n and 9 * len(x & sets[j]) >= 4 * n:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[rng.randrange(len(out))] = f"e{rng.randrange(10**6)}"
+    return " ".join(out)
+
+
+def corpus():
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(400)}"
+    line = " ".join(word() for _ in range(30))  # one that many texts hold
+    texts = [None, "", " \n", "A b", "a  B", "a b c", "one two three four five", "one two three four six"]
+    for _ in range(25):
+        base = [word() for _ in range(rng.choice([8, 40, 120, 400]))]
+        texts += [edited(rng, base, rng.randrange(1 + len(base) // 25)) for _ in range(rng.choice([1, 2, 6]))]
+        texts.append(" ".join(base[: len(base) * 9 // 10]) + " " + line)
+    base = [word() for _ in range(200)]
+    return texts + [edited(rng, base, rng.randrange(9)) for _ in range(60)]  # one large group
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = random.Random(1)
+    common = N.np.sort(N.np.array(rng.sample(range(60), 20), dtype="<u8"))
+    rank = N.np.array(rng.sample(range(1, 21), 20))
+    for _ in range(2000):
+        x = set(rng.sample(range(60), rng.randrange(1, 30)))
+        y = {v for v in x if rng.random() < 0.95} | set(rng.sample(range(60), rng.randrange(3)))
+        if y and 5 * len(x & y) >= 4 * len(x | y):
+            first = [set(N.prefix(N.np.array(sorted(v), dtype="<u8"), common, rank).tolist()) for v in (x, y)]
+            assert first[0] & first[1]
+
+
+def test_groups_equal_brute_force(spark):
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in N.document_groups(docs).collect()}
+    assert got == dict(enumerate(slow_groups(texts)))
+
+
+def test_stage_keeps_one_of_each_group(spark):
+    """Copies that differ in many bits of their fingerprints go, too."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet").select(["doc_id", "text"]).to_pylist()
+    table.sort(key=lambda r: r["doc_id"])
+    wanted = {table[i]["doc_id"] for i in slow_groups([r["text"] for r in table])}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = corpus_pipeline.near_copies(spark, docs, "/root/testdata/sf0.01")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(wanted)
+
+
+def test_repeated_and_missing_keys(spark):
+    far = ["sun rain wind " * 50, "fog hail snow " * 50, "mist ice storm " * 50]
+    rows = [(5, far[0]), (5, far[0]), (5, far[1]), (7, far[1]), (None, far[0]), (None, far[2]), (None, far[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.text[:3]) for r in N.one_of_each(docs).collect())
+    assert got == [(0, "mis"), (5, "fog"), (5, "sun")]
+    assert N.one_of_each(docs.limit(0)).collect() == []
