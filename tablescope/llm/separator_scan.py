@@ -6,6 +6,9 @@ block its separators, the ids before the first and after the last of them. A pre
 what each block inherits: the documents ended before it, and the ids of the document that is under way. A second pass
 gives a row for each document where its separator stands.
 
+A text may hold the string of the separator, whose id is then one of its own ids. Inside texts that id is written as
+``ESCAPED_ID``, which no text has: it counts like any other and never ends a document.
+
 The separator belongs to no document's length. Ids after the last separator of a file are a document without an end:
 a row with ``ended`` false. An empty file gives no row. Files and blocks are spread over the tasks, so the size of one
 file bounds nothing; the scan sorts one row per block.
@@ -27,6 +30,8 @@ from tablescope.llm.tokens import END_ID, word_ids
 
 BLOCK_IDS = 2_000_000
 ID = np.dtype("<u2")
+#: Stands for ``END_ID`` inside a text; the vocabulary ends far below.
+ESCAPED_ID = 65_535
 FILES = "doc_id {key}, file string, ordinal bigint"
 
 
@@ -50,7 +55,7 @@ def write_flat(
                 store.create_dir(path.rpartition("/")[0], recursive=True)
                 out = store.open_output_stream(path)
             ids, bounds = words.of_texts(batch.column("text"))
-            flat = np.insert(ids.astype(ID), bounds[1:], END_ID)
+            flat = np.insert(np.where(ids == END_ID, ESCAPED_ID, ids).astype(ID), bounds[1:], END_ID)
             out.write(flat.tobytes())
             order = np.arange(n, n + batch.num_rows)
             n += batch.num_rows

@@ -133,6 +133,13 @@ def test_token_counts_round_trip(spark):
     assert separator_scan.count_tokens(docs.where("doc_id > 99")).collect() == []
 
 
+def test_separators_inside_texts_are_counted(spark):
+    texts = ["a b c", "x<|endoftext|>y <|startoftext|>", "<|endoftext|>", "<|endoftext|><|endoftext|> z", None, "sun", *ODD]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: r.n_tokens for r in separator_scan.count_tokens(docs).collect()}
+    assert found == {i: len(x) for i, x in enumerate(library_ids([t or "" for t in texts]))}
+
+
 def test_flat_files_hold_ids_alone(spark):
     docs = spark.createDataFrame([(1, "sun"), (2, "")], "doc_id long, text string").coalesce(1)
     files = written(separator_scan.write_flat(docs, new_folder(spark, "t")), "t")
