@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import crf_pii, level_packing, near_texts, pigeonhole, toxicity_chain
+from tablescope.llm import crf_pii, hamming_trees, level_packing, pigeonhole, toxicity_chain
 from tablescope.llm.shared import import_path, written
 
 
@@ -20,9 +20,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard 0.8 and more) stays, the one with the smallest id."""
+    """One document of each component of linked fingerprints (three-word shingles, two bits) stays, the smallest id."""
     import_path(spark)
-    return near_texts.one_of_each(docs)
+    return hamming_trees.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
