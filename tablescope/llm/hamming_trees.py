@@ -37,6 +37,8 @@ RADIUS = 2
 SHARD_ROWS = 20_000
 SAMPLE_ROWS = 65_536
 BLOCK = 256
+#: hashes whose bits are spread at a time, so that the longest text takes little more memory than its words
+SPREAD = 100_000
 #: rows of two numbers that may go to every task
 SMALL_TABLE = 2_000_000
 
@@ -57,9 +59,11 @@ def majority(hashes: np.ndarray) -> int:
     """The bits that more than half of the hashes have; zero without hashes."""
     if not len(hashes):
         return 0
-    lanes = _LANES[hashes.view(np.uint8).reshape(-1, 8)]
-    # a lane holds sums up to 255
-    sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
+    sums = np.zeros(64, dtype=np.int64)
+    for a in range(0, len(hashes), SPREAD):
+        lanes = _LANES[hashes[a : a + SPREAD].view(np.uint8).reshape(-1, 8)]
+        # a lane holds sums up to 255
+        sums += np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * sums > len(hashes), bitorder="little").tobytes(), "little")
 
 

@@ -6,11 +6,13 @@ searched in one walk over each text (Aho-Corasick). Where a piece is found, Myer
 passage in the text around it, of m + 2k characters at most; places on one diagonal are verified once.
 
 Both sides are compared in lower case with runs of blanks as one space. Passages of fewer than ``least_chars``
-characters are no evidence and are left out, as are NULL ones; equal passages keep each their own item. NULL texts
-count as empty. Repeated documents are searched each. Texts of any length are searched whole.
+characters have no budget and match at word bounds alone: what stands beside them is no letter, digit or underscore.
+NULL and blank passages match nothing; equal passages keep each their own item. NULL texts count as empty. Repeated
+documents are searched each. Texts of any length are searched whole.
 
 The passages are a stated query set. They are taken in blocks of about ``block_chars`` characters by a hash of the item,
-so no more than a block is in a task's memory, and each block is searched in all documents.
+and each block is searched in all documents. A task holds one block: searches of several blocks are tasks of their own,
+and a filter by several blocks writes what each has kept before the next one starts.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.llm.shared import as_text, slices
+from tablescope.llm.shared import as_text, slices, written
 
 EDIT_SHARE = 0.08
 LEAST_CHARS = 20
@@ -34,11 +36,20 @@ def plain(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def budget(passage: str, edit_share: float) -> int:
+def budget(passage: str, edit_share: float, least_chars: int = LEAST_CHARS) -> int:
+    """Edits that a passage may have; none for short ones."""
+    if len(passage) < least_chars:
+        return 0
     # the small term keeps shares such as 0.1 * 30 from falling below their whole number
     return int(edit_share * len(passage) + 1e-9)
 
 
+def at_word_bounds(text: str, a: int, b: int) -> bool:
+    """Whether no word goes on beyond either end of ``text[a:b]``."""
+    inside = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+    return not (inside(a - 1) and inside(a)) and not (inside(b - 1) and inside(b))
+
+
 def pieces(passage: str, k: int) -> Iterator[tuple[int, str]]:
     """k + 1 pieces that cover the passage, their lengths as equal as possible."""
     bounds = [i * len(passage) // (k + 1) for i in range(k + 2)]
@@ -75,10 +86,11 @@ def myers(masks: dict[str, int], m: int, text: str, most: int) -> tuple[int, int
 class Passages:
     """The passages of a block, their pieces in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], edit_share: float):
+    def __init__(self, items: list[tuple[int, str]], edit_share: float, least_chars: int = LEAST_CHARS):
         import ahocorasick
 
-        self.items = [(i, t, budget(t, edit_share)) for i, t in items]
+        self.least_chars = least_chars
+        self.items = [(i, t, budget(t, edit_share, least_chars)) for i, t in items if t]
         where = defaultdict(list)
         for n, (_, t, k) in enumerate(self.items):
             for a, piece in pieces(t, k):
@@ -111,6 +123,10 @@ class Passages:
                     continue
                 _, passage, k = self.items[n]
                 start = last - size + 1 - a  # where the passage begins if nothing before was inserted or lost
+                if len(passage) < self.least_chars:
+                    if at_word_bounds(text, start, start + size):
+                        found[n] = (0, start + size)
+                    continue
                 if text.startswith(passage, max(start, 0)):
                     found[n] = (0, max(start, 0) + len(passage))
                     continue
@@ -130,17 +146,22 @@ class Passages:
 _BLOCKS: dict[str, Passages] = {}
 
 
-def passage_blocks(
-    benchmark: DataFrame, key: str, text: str, least_chars: int, block_chars: int
-) -> Iterator[list[tuple[int, str]]]:
+def passage_blocks(benchmark: DataFrame, key: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The passages, plain, in blocks that the driver holds one at a time."""
     rows = benchmark.select(F.col(key).alias("item_id"), as_text(text).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        items = sorted(((r.item_id, plain(r.text)) for r in part), key=str)
-        yield [(i, t) for i, t in items if len(t) >= least_chars]
+        yield sorted(((r.item_id, plain(r.text)) for r in part), key=str)
+
+
+def held_block(name: str, items: list[tuple[int, str]], edit_share: float, least_chars: int) -> Passages:
+    """The passages ``name`` in this worker; those of another block are given up first."""
+    if name not in _BLOCKS:
+        _BLOCKS.clear()
+        _BLOCKS[name] = Passages(items, edit_share, least_chars)
+    return _BLOCKS[name]
 
 
 def find_passages(
@@ -157,10 +178,7 @@ def find_passages(
         name = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if name not in _BLOCKS:
-                _BLOCKS.clear()
-                _BLOCKS[name] = Passages(items, edit_share)
-            block = _BLOCKS[name]
+            block = held_block(name, items, edit_share, least_chars)
             for batch in slices(batches, "text"):
                 at, out = [], []
                 for r, t in enumerate(batch.column("text").to_pylist()):
@@ -182,7 +200,7 @@ def find_passages(
 
     item_type = to_arrow_type(benchmark.schema[item_key].dataType)
     found = None
-    for items in passage_blocks(benchmark, item_key, item_text, least_chars, block_chars):
+    for items in passage_blocks(benchmark, item_key, item_text, block_chars):
         part = rows.mapInArrow(searching(items), schema)
         found = part if found is None else found.unionAll(part)
     return found
@@ -197,16 +215,15 @@ def without_passages(
         name = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if name not in _BLOCKS:
-                _BLOCKS.clear()
-                _BLOCKS[name] = Passages(items, edit_share)
-            block = _BLOCKS[name]
+            block = held_block(name, items, edit_share, least_chars)
             for batch in slices(batches, text):
                 texts = batch.column(text).to_pylist()
                 yield batch.filter(pa.array([not block.search(plain(t or "")) for t in texts], pa.bool_()))
 
         return run
 
-    for items in passage_blocks(benchmark, item_key, item_text, least_chars, block_chars):
-        docs = docs.mapInArrow(keeping(items), docs.schema)
-    return docs
+    kept = None
+    for items in passage_blocks(benchmark, item_key, item_text, block_chars):
+        kept = docs if kept is None else written(kept, "searched")
+        kept = kept.mapInArrow(keeping(items), docs.schema)
+    return kept

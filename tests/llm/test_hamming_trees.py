@@ -54,6 +54,12 @@ def test_fingerprint_bits():
         assert H.fingerprint(t.encode()) == slow_fingerprint(t)
 
 
+def test_majority_adds_up_in_parts():
+    hashes = np.random.default_rng(4).integers(0, 2**63, 2 * H.SPREAD + 777, dtype=np.uint64) * np.uint64(2)
+    bits = [int(2 * ((hashes >> np.uint64(i)) & np.uint64(1)).sum() > len(hashes)) << i for i in range(64)]
+    assert H.majority(hashes) == sum(bits)
+
+
 @pytest.mark.parametrize("seed", range(4))
 @pytest.mark.parametrize("block", [4, 32])
 def test_links_connect_exactly_the_near_points(seed, block):

@@ -75,10 +75,33 @@ def test_documents(spark):
     for size in (10, 4_000_000):  # many blocks, one block
         found = P.find_passages(docs, bench, block_chars=size)
         got = sorted((r.doc_id or 0, r.item_id or 0, r.edits) for r in found.collect())
-        assert got == [(0, 0, 0), (1, 1, 0), (1, 4, 0), (2, 1, 2), (2, 4, 2), (7, 1, 0), (7, 1, 0), (7, 4, 0), (7, 4, 0)]
+        assert got == [(0, 0, 0), (1, 1, 0), (1, 4, 0), (2, 1, 2), (2, 4, 2), (6, 2, 0), (7, 1, 0), (7, 1, 0), (7, 4, 0), (7, 4, 0)]
         kept = P.without_passages(docs, bench, block_chars=size)
         assert kept.columns == docs.columns
-        assert sorted(r.doc_id or 0 for r in kept.collect()) == [3, 4, 5, 6]
+        assert sorted(r.doc_id or 0 for r in kept.collect()) == [3, 4, 5]
+
+
+def test_short_items_match_whole_words_only():
+    block = P.Passages([(1, "2 + 2 = 4"), (2, "what is pi?"), (3, ""), (4, "ox")], 0.3)
+    found = lambda text: {block.items[n][0]: hit for n, hit in block.search(P.plain(text)).items()}
+    assert found("So 2 + 2 =  4.") == {1: (0, 12)}
+    assert found("12 + 2 = 4, 2 + 2 = 40, boxes, fox") == {}
+    assert found("boxes and an Ox; what is pi? three") == {2: (0, 28), 4: (0, 15)}
+    assert found("what is pi") == {} == found("")
+
+
+def test_a_task_holds_one_block(spark, monkeypatch):
+    items = [(i, f"passage number {i:03d} of the three blocks") for i in range(3)]
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in items] + [(9, "clean")], "doc_id long, text string")
+    blocks = [[(i, P.plain(t))] for i, t in items]
+    monkeypatch.setattr(P, "passage_blocks", lambda *a: iter(blocks))
+    kept = P.without_passages(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [9]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "searched" in plan
+    for i, b in enumerate(blocks):
+        P.held_block(str(i), b, 0.1, 20)
+        assert len(P._BLOCKS) == 1
 
 
 def test_no_passages_and_no_documents(spark):
