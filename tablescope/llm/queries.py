@@ -14,6 +14,7 @@ from tablescope.llm import (
     divergence_rules,
     hamming_trees,
     level_packing,
+    periodic_runs,
     pigeonhole,
     separator_scan,
     site_quality,
@@ -87,3 +88,20 @@ def op9_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of documents of which a tenth repeat themselves; digests of the runs and of the words left."""
+    found = periodic_runs.find_runs(periodic_runs.with_repeats(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    best = F.array_min(F.transform("runs", lambda r: F.struct(-r.length, r.start, r.period, r.length.alias("size"))))
+    digests = found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"),
+        F.sha2(F.array_join(F.transform(lines, lambda t: F.concat(t, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return digests.select(
+        "doc_id", "n_runs", "best.start", F.col("best.size").alias("length"), "best.period",
+        F.expr("1000 * best.size DIV best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
