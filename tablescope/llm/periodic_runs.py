@@ -91,44 +91,43 @@ class CommonExtension:
     """Common extensions of pairs of places, and the order of all suffixes, of words whose last occurs once."""
 
     def __init__(self, word: list[int]):
-        start, end, parent = suffix_tree(word)
+        start, end, parent = map(np.array, suffix_tree(word))
         n, nodes = len(word), len(start)
-        first = np.array(word)[np.array(start)]
-        first[0] = -1
-        up = np.array(parent)
-        # children of a node side by side, in the order of their words
-        order = np.lexsort((-first, up)).tolist()
-        below: list[list[int]] = [[] for _ in range(nodes)]
-        for x in order:
-            if x:
-                below[parent[x]].append(x)
-        depth = [0] * nodes
-        tour: list[int] = []  # depths along the Euler tour
-        at = [0] * n  # where a suffix's leaf stands in it
-        suffixes: list[int] = []
-        todo = [0]
-        while todo:
-            x = todo.pop()
-            if x < 0:  # back at a node after one of its children
-                tour.append(depth[~x])
-                continue
-            d = depth[parent[x]] + end[x] - start[x]
-            depth[x] = d
-            children = below[x]
-            if not children and x:
-                at[n - d] = len(tour)
-                suffixes.append(n - d)
-                tour.append(d)
-                continue
-            tour.append(d)
-            back = ~x
-            for c in children:
-                todo.append(back)
-                todo.append(c)
+        # children of a node side by side, in the order of their words; the root is nobody's child
+        kids = 1 + np.lexsort((np.array(word)[start[1:]], parent[1:]))
+        above = parent[kids]
+        count = np.bincount(above, minlength=nodes)
+        begin = np.cumsum(count) - count
+        levels, depth = [np.zeros(1, dtype=np.int64)], np.zeros(nodes, dtype=np.int64)
+        while True:
+            size = count[levels[-1]]
+            place = np.repeat(begin[levels[-1]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            if not len(place):
+                break
+            below = kids[place]
+            depth[below] = depth[parent[below]] + end[below] - start[below]
+            levels.append(below)
+        # the Euler tour where it turns: at every leaf, and at a node between two of its children
+        turns = np.where(count, count - 1, 1)
+        for below in levels[:0:-1]:
+            np.add.at(turns, parent[below], turns[below])
+        before = np.cumsum(turns[kids] + 1) - turns[kids] - 1
+        offset = np.zeros(nodes, dtype=np.int64)
+        offset[kids] = before - np.repeat(before[begin[count > 0]], count[count > 0])
+        at = np.zeros(nodes, dtype=np.int64)
+        for below in levels[1:]:
+            at[below] = at[parent[below]] + offset[below]
+        tour = np.zeros(int(turns[0]), dtype=np.int32)
+        leaves = np.flatnonzero(count == 0)
+        tour[at[leaves]] = depth[leaves]
+        later = np.flatnonzero(offset)
+        tour[at[later] - 1] = depth[parent[later]]
+        suffix = n - depth[leaves]
+        self.at = np.empty(n, dtype=np.int64)
+        self.at[suffix] = at[leaves]
         self.rank = np.empty(n, dtype=np.int64)
-        self.rank[suffixes] = np.arange(n)
-        self.at = np.array(at)
-        self.least = [np.array(tour, dtype=np.int32)]
+        self.rank[suffix[np.argsort(at[leaves])]] = np.arange(n)
+        self.least = [tour]
         while 2 << (len(self.least) - 1) <= len(tour):
             low, reach = self.least[-1], 1 << (len(self.least) - 1)
             self.least.append(np.minimum(low[:-reach], low[reach:]))
