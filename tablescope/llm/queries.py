@@ -11,6 +11,7 @@ from tablescope.llm import (
     capture_index,
     causal_lm,
     crf_pii,
+    divergence_audit,
     divergence_rules,
     hamming_trees,
     level_packing,
@@ -90,6 +91,14 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.divergences(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_divergence_audit"] = divergence_audit.ORACLE
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run of documents of which a tenth repeat themselves; digests of the runs and of the words left."""
