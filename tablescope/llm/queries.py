@@ -19,6 +19,7 @@ from tablescope.llm import (
     pigeonhole,
     separator_scan,
     site_quality,
+    suffix_dedup,
     toxicity_chain,
 )
 from tablescope.llm.shared import import_path
@@ -91,6 +92,16 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.count_tokens(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.strip_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["size"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit.divergences(table(spark, sf_dir, "documents"))
