@@ -33,6 +33,8 @@ class FAMDResult:
     n_components: int
     row_coordinates: DataFrame
     wide: DataFrame | None = None  # (variable, level, kind, dim, coordinate) of variables with many levels
+    residuals: np.ndarray | None = None  # error bound of each axis where several variables are wide
+    converged: bool = True
 
     @property
     def total_inertia_explained(self) -> float:
@@ -173,4 +175,6 @@ def famd(
         n_components,
         rows,
         wide,
+        axes and axes.residuals,
+        axes is None or axes.converged,
     )

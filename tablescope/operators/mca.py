@@ -33,6 +33,8 @@ class MCAResult:
     row_coordinates: DataFrame
     n_levels: int = 0
     wide: DataFrame | None = None  # (variable, level, dim, coordinate, mass)
+    residuals: np.ndarray | None = None  # error bound of each axis where several variables are wide
+    converged: bool = True
 
     @property
     def total_inertia_explained(self) -> float:
@@ -115,4 +117,6 @@ def mca(
         rows,
         split.n_levels,
         wide,
+        axes and axes.residuals / q,
+        axes is None or axes.converged,
     )

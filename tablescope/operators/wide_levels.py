@@ -14,10 +14,8 @@ becomes one of twice the dense size,
 with A the block of all other columns, and u = w G**(-1/2) x. Equal eigenvalues 1 beyond those span what is orthogonal
 to w and belong to no association.
 
-Several wide variables meet each other in a table of level pairs. There the leading axes come from block subspace
-iteration: each round applies a Chebyshev polynomial of M, which is flat over the unwanted part of the spectrum, and
-solves the small problem inside the block, until no wanted eigenvalue moves by more than ``TOLERANCE``. The columns of a
-block live in tables beside their levels; the driver sees only products inside the block.
+Several wide variables meet each other in a table of level pairs; there the leading axes come from ``level_krylov``, each
+with a bound of its error.
 """
 
 from __future__ import annotations
@@ -27,19 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.columns import level_text
 from tablescope.functions.tables import small_table
+from tablescope.operators.level_krylov import LevelMatrix, blocks, dense_rows, leading_axes, summed
 from tablescope.operators.levels import SplitLevels
 from tablescope.plans.reuse import written
 
 #: tasks that add up products of the dense columns, one matrix each
-PRODUCT_TASKS, MERGE_TASKS = 32, 8
-TOLERANCE = 1e-10
-ROUNDS, DEGREE, SPARE = 60, 6, 6
+PRODUCT_TASKS = 32
 
 
 @dataclass(frozen=True)
@@ -50,6 +46,8 @@ class WideAxes:
     dense: np.ndarray
     table: DataFrame
     squares: dict[str, np.ndarray]  # by wide variable: sum of its squared entries on each axis
+    residuals: np.ndarray  # |M x - value x| of each axis; 0 where axes are solved directly
+    converged: bool
 
 
 def meeting_rows(df: DataFrame, split: SplitLevels, sd: np.ndarray) -> DataFrame:
@@ -102,69 +100,18 @@ def meeting_rows(df: DataFrame, split: SplitLevels, sd: np.ndarray) -> DataFrame
     )
 
 
-def dense_rows(batch: pa.RecordBatch, p: int, m: int, n: int) -> np.ndarray:
-    """The rows w of a batch of wide levels: ``p`` standardised columns, then the narrow levels, ``m`` in all."""
-    out = np.zeros((batch.num_rows, m))
-    rows = batch.column("rows").to_numpy().astype(float)
-    if p:
-        own = batch.column("own").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, p)
-        out[:, :p] = own / np.sqrt(rows * n)[:, None]
-    place = batch.column("place")
-    sizes = np.diff(place.offsets.to_numpy())
-    out[np.repeat(np.arange(batch.num_rows), sizes), p + place.flatten().to_numpy()] = (
-        batch.column("cells").flatten().to_numpy()
-    )
-    return out
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
-    step = max(1, 4_000_000 // max(m, 1))
-    for batch in batches:
-        for start in range(0, batch.num_rows, step):
-            yield batch.slice(start, step)
-
-
-def _summed(df: DataFrame, add: Callable[[pa.RecordBatch], np.ndarray], m: int) -> np.ndarray | None:
-    """The sum of an array over all batches: each task adds up its own, a few tasks those of the others."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in _blocks(batches, m):
-            if batch.num_rows:
-                total = add(batch) if total is None else total + add(batch)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()]), pa.array([total.astype(float).tobytes()], pa.binary())],
-                names=["task", "total"],
-            )
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = sorted(
-            part for batch in batches for part in zip(batch.column("task").to_pylist(), batch.column("total").to_pylist())
-        )
-        if parts:
-            total = np.zeros(len(parts[0][1]) // 8)
-            for _, data in parts:
-                total += np.frombuffer(data)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([parts[0][0]]), pa.array([total.tobytes()], pa.binary())], names=["task", "total"]
-            )
-
-    schema = "task bigint, total binary"
-    found = df.mapInArrow(run, schema).repartition(MERGE_TASKS, "task").mapInArrow(merge, schema).collect()
-    parts = [np.frombuffer(bytes(r["total"])) for r in sorted(found, key=lambda r: r["task"])]
-    return np.sum(parts, axis=0) if parts else None
-
-
 def wide_axes(df: DataFrame, split: SplitLevels, block: np.ndarray, sd: np.ndarray, n_axes: int) -> WideAxes:
     """Leading axes of M. ``block`` is the part of M over the standardised columns and the narrow levels, in that order;
     ``sd`` are the deviations of those columns, by which the level sums in ``split`` are divided."""
     p, m, n = len(sd), len(block), split.n
     root = np.concatenate([np.zeros(p), np.sqrt(split.narrow.rows / n)])
     met = written(meeting_rows(df, split, sd), "meeting")
+    residuals, converged = np.zeros(n_axes), True
     if len(split.wide) == 1:
         values, dense, table = _eliminated(met, block, root, p, m, n, n_axes)
     else:
-        values, dense, table = _iterated(df, split, met, block, root, p, m, n, n_axes)
+        found, table = _iterated(df, split, met, block, root, p, n, n_axes)
+        values, dense, residuals, converged = found.values, found.dense, found.residuals, found.converged
     dense, table = _oriented(split, dense, table, p, n_axes)
     table = written(table, "wide-axes")
     sums = [F.sum(F.col(f"v_{k}") ** 2).alias(f"s_{k}") for k in range(n_axes)]
@@ -172,7 +119,7 @@ def wide_axes(df: DataFrame, split: SplitLevels, block: np.ndarray, sd: np.ndarr
         r["variable"]: np.array([r[f"s_{k}"] for k in range(n_axes)])
         for r in table.groupBy("variable").agg(*sums).collect()
     }
-    return WideAxes(values, dense, table, squares)
+    return WideAxes(values, dense, table, squares, residuals, converged)
 
 
 def _axis_columns(met: DataFrame, entries: Callable[[pa.RecordBatch], np.ndarray], n_axes: int, m: int) -> DataFrame:
@@ -181,7 +128,7 @@ def _axis_columns(met: DataFrame, entries: Callable[[pa.RecordBatch], np.ndarray
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _blocks(batches, m):
+        for batch in blocks(batches, m):
             names = ["variable", "position", "level", "rows"]
             found = entries(batch)
             yield pa.RecordBatch.from_arrays(
@@ -197,7 +144,7 @@ def _eliminated(met, block, root, p, m, n, n_axes):
         w = dense_rows(batch, p, m, n)
         return (w.T @ w).ravel()
 
-    found = _summed(met.coalesce(PRODUCT_TASKS), products, m) if m else None
+    found = summed(met.coalesce(PRODUCT_TASKS), products, m) if m else None
     gram = np.zeros((m, m)) if found is None else found.reshape(m, m)
     gram = gram - np.outer(root, root)
     size, turn = np.linalg.eigh(gram)
@@ -222,104 +169,12 @@ def _eliminated(met, block, root, p, m, n, n_axes):
     return np.maximum(values[order], 0.0), dense, _axis_columns(met, entries, len(order), m)
 
 
-def _iterated(df, split, met, block, root, p, m, n, n_axes):
+def _iterated(df, split, met, block, root, p, n, n_axes):
     pairs = written(_wide_pairs(df, split, met), "wide-pairs")
-    b = n_axes + SPARE
-    rng = np.random.default_rng(13)
-    dense = rng.standard_normal((m, b))
-    seed = F.transform(
-        F.sequence(F.lit(1), F.lit(b)), lambda i: F.xxhash64("position", "level", i) / F.lit(2.0**63)
-    )
-    wide = written(met.select("id", "rows", seed.alias("x")), "block")
-    fields = "id bigint, rows bigint, x array<double>"
-
-    def rows_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
-        column = batch.column(name)
-        return column.fill_null([0.0] * b).flatten().to_numpy().reshape(batch.num_rows, b)
-
-    def sums(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """w' x summed over all wide levels, and the same of their roots."""
-        def add(batch: pa.RecordBatch) -> np.ndarray:
-            x, share = rows_of(batch, "x"), np.sqrt(batch.column("rows").to_numpy() / n)
-            return np.concatenate([dense_rows(batch, p, m, n).T @ x, (share @ x)[None, :]])
-
-        found = _summed(met.join(table.select("id", "x"), "id"), add, m).reshape(m + 1, b)
-        return found[:m], found[m]
-
-    def applied(table: DataFrame, x_dense: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-        """M times the block; the new columns are ``y``, beside ``x``."""
-        crossed, along = sums(table)
-        middle = along + root @ x_dense
-        y_dense = block @ x_dense + crossed - np.outer(root, along)
-        scaled = [(F.get("x", F.lit(i)) / F.sqrt("rows")).alias(f"t_{i}") for i in range(b)]
-        # pairs hold both directions; hot levels are split where the join finds them skewed
-        met_wide = (
-            pairs.join(table.select(F.col("id").alias("other"), *scaled), "other")
-            .groupBy("id")
-            .agg(F.array(*[F.sum(F.col("together") * F.col(f"t_{i}")) for i in range(b)]).alias("e"))
-        )
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _blocks(batches, m):
-                rows, x = batch.column("rows").to_numpy().astype(float), rows_of(batch, "x")
-                y = x + dense_rows(batch, p, m, n) @ x_dense + rows_of(batch, "e") / np.sqrt(rows)[:, None]
-                y -= np.sqrt(rows / n)[:, None] * middle
-                lists = [
-                    pa.ListArray.from_arrays(np.arange(0, b * len(v) + 1, b, dtype=np.int32), v.ravel()) for v in (x, y)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("rows"), *lists], names=["id", "rows", "x", "y"]
-                )
-
-        joined = met.join(table.select("id", "x"), "id").join(met_wide, "id", "left")
-        return written(joined.mapInArrow(run, fields + ", y array<double>"), "block"), y_dense
-
-    def mixed(table: DataFrame, columns: dict[str, np.ndarray]) -> DataFrame:
-        """A new block: the sum of each column of ``table`` times its matrix."""
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = sum(rows_of(batch, c) @ t for c, t in columns.items())
-                values = pa.ListArray.from_arrays(np.arange(0, b * len(x) + 1, b, dtype=np.int32), x.ravel())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("rows"), values], names=["id", "rows", "x"]
-                )
-
-        return written(table.mapInArrow(run, fields), "block")
-
-    def inside(table: DataFrame, x_dense: np.ndarray, y_dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        def add(batch: pa.RecordBatch) -> np.ndarray:
-            x, y = rows_of(batch, "x"), rows_of(batch, "y")
-            return np.stack([x.T @ x, x.T @ y])
-
-        found = _summed(table, add, b).reshape(2, b, b)
-        return found[0] + x_dense.T @ x_dense, found[1] + x_dense.T @ y_dense
-
-    one, before, values = np.eye(b), None, np.zeros(b)
-    for _ in range(ROUNDS):
-        table, y_dense = applied(wide, dense)
-        gram, product = inside(table, dense, y_dense)
-        size, turn = np.linalg.eigh((gram + gram.T) / 2)
-        basis = turn / np.sqrt(np.maximum(size, 1e-14 * size.max()))
-        values, inner = np.linalg.eigh(basis.T @ ((product + product.T) / 2) @ basis)
-        values, inner = values[::-1], inner[:, ::-1]
-        change = basis @ inner
-        wide, dense, y_dense = mixed(table, {"x": change}), dense @ change, y_dense @ change
-        if before is not None and np.abs(values[:n_axes] - before).max() <= TOLERANCE * max(1.0, values[0]):
-            break
-        before = values[:n_axes].copy()
-        # Chebyshev: T0 = x, T1 = (2 M / edge - 1) x, T(j + 1) = 2 (2 M / edge - 1) T(j) - T(j - 1)
-        edge = max(values[-1], 1e-6)
-        old, old_dense = wide, dense
-        table, y_dense = applied(wide, dense)
-        wide, dense = mixed(table, {"y": 2 / edge * one, "x": -one}), 2 / edge * y_dense - dense
-        for _ in range(DEGREE - 1):
-            table, y_dense = applied(wide, dense)
-            back = old.select("id", F.col("x").alias("back"))
-            newer = mixed(table.join(back, "id"), {"y": 4 / edge * one, "x": -2 * one, "back": -one})
-            old, old_dense, wide, dense = wide, dense, newer, 4 / edge * y_dense - 2 * dense - old_dense
-    kept = met.select("id", "variable", "position", "level").join(wide, "id")
+    found = leading_axes(LevelMatrix(met, pairs, block, root, p, n), n_axes)
+    kept = met.select("id", "variable", "position", "level", "rows").join(found.wide, "id")
     entries = [F.get("x", F.lit(k)).alias(f"v_{k}") for k in range(n_axes)]
-    return np.maximum(values[:n_axes], 0.0), dense[:, :n_axes], kept.select("variable", "position", "level", "rows", *entries)
+    return found, kept.select("variable", "position", "level", "rows", *entries)
 
 
 def _wide_pairs(df: DataFrame, split: SplitLevels, met: DataFrame) -> DataFrame:

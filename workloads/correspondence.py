@@ -239,3 +239,37 @@ def mca_row_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.abs(F.var_pop("Dim1") - first) < 1e-9) & (F.abs(F.var_pop("Dim2") - second) < 1e-9)
         ).alias("variance_is_eigenvalue"),
     )
+
+
+# Every customer meets every supplier once, and once more if their blocks agree: within two blocks all is independent, so the
+# only axis is that of the 2 x 2 table of blocks, whose correlation is phi. Both columns are kept out of the dense matrix.
+CROSSED = """
+SELECT CAST(c_custkey AS STRING) AS customer, CAST(s_suppkey AS STRING) AS supplier, a, b, a + b - 1.5e0 * a * b AS x
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 1.0e0 ELSE 0.0e0 END AS a FROM customer) c
+CROSS JOIN (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 1.0e0 ELSE 0.0e0 END AS b FROM supplier) s
+CROSS JOIN (SELECT 0 AS again UNION ALL SELECT 1) twice
+WHERE again = 0 OR a = b
+"""
+
+
+@query(
+    f"""WITH t AS ({CROSSED}),
+    m AS (SELECT corr(a, b) AS phi, avg(a) AS pa, avg(b) AS pb FROM t),
+    levels AS (SELECT DISTINCT 'customer' AS variable, customer AS level, a AS inside FROM t
+               UNION ALL SELECT DISTINCT 'supplier', supplier, b FROM t),
+    standard AS (SELECT variable, level, phi, CASE WHEN variable = 'customer' THEN (pa - inside) / sqrt(pa * (1 - pa))
+                 ELSE sign(phi) * (pb - inside) / sqrt(pb * (1 - pb)) END AS c FROM levels, m)
+    SELECT variable, level, {r('(1 + abs(phi)) / 2', 'eigenvalue')}, {r('c * sqrt((1 + abs(phi)) / 2)', 'coordinate', 5)}
+    FROM standard"""
+)
+def mca_two_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of many levels each: the axis and all its levels, turned so that customer 1 lies on the positive side."""
+    found = mca(derived(spark, sf_dir, CROSSED), ("customer", "supplier"), dense_levels=8)
+    if not found.converged:
+        raise ValueError(f"the axis has not converged, residual {found.residuals.max()}")
+    levels = found.levels_df(spark)
+    side = levels.where("variable = 'customer' AND level = '1'").first()["coordinate"]
+    return levels.select(
+        "variable", "level", num(F.lit(float(found.eigenvalues[0]))).alias("eigenvalue"),
+        num(F.col("coordinate") * F.lit(1.0 if side > 0 else -1.0), 5).alias("coordinate"),
+    )
