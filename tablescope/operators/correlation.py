@@ -126,11 +126,10 @@ def spearman_moments(
     bounds: Mapping[str, tuple[float, float]] | None = None,
     n_rows: int | None = None,
 ) -> Moments:
-    """Moments of the average ranks; every rank column has the known mean (n + 1) / 2."""
+    """Moments of the average ranks."""
     slots = {c: f"r_{i}" for i, c in enumerate(values)}
     slot_bounds = None if bounds is None else {slots[c]: bounds[c] for c in values}
-    n, ranks = average_ranks(df, {slots[c]: values[c] for c in values}, bounds=slot_bounds, n_rows=n_rows)
-    centre = [(n + 1) / 2.0] * len(slots)
+    _, ranks = average_ranks(df, {slots[c]: values[c] for c in values}, bounds=slot_bounds, n_rows=n_rows)
     found = cross_moments(ranks, {s: F.col(s) for s in slots.values()})
     return replace(found, columns=tuple(values))
 

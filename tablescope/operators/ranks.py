@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.columns import at, col, double_array
 from tablescope.operators.bins import balanced_bins, bucket_columns, merged_bins
+from tablescope.plans.reuse import written
 
 #: rows of a bin: few enough to be ranked in memory; on huge tables few enough bins for the driver
 SMALL_BIN, LARGE_BIN, BINS = 4_096, 20_000_000, 100_000
@@ -95,8 +96,9 @@ def _ranked(frame: DataFrame, bins: Mapping[str, Sequence], kept: Sequence[str],
                 at(double_array(below), index).alias("below"),
             )
         )
-    # the task's number in the upper bits, the row's place in the lower ones: mixed, so that parts come out even
-    numbered = frame.withColumn("__row", F.monotonically_increasing_id())
+    # the task's number in the upper bits, the row's place in the lower ones: mixed, so that parts come out even. Written
+    # first: a task repeated after a lost executor may see the rows of a shuffle in another order and number them anew
+    numbered = written(frame.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     carried = F.struct(F.lit(True).alias("__held"), *[col(k) for k in kept])
     long = numbered.select("__row", carried.alias("kept"), F.posexplode(F.array(*cells)).alias("position", "cell")).select(
         "__row", F.when(F.col("position") == 0, F.col("kept")).alias("kept"), "position", "cell.*"

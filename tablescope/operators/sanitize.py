@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.tables import small_table
 from tablescope.functions.columns import cell, col, data_type, is_whole, measure, numeric_columns
-from tablescope.operators.profile import distinct_counts
 from tablescope.operators.quantiles import exact_quantiles
 from tablescope.operators.statistics import ColumnStatistics, column_statistics
-from tablescope.operators.values import value_summary
+from tablescope.operators.values import distinct_counts, value_summary
 
 STRATEGIES = ("median", "mean", "most_frequent")
 
@@ -268,7 +267,8 @@ def _near_constant(
         for c, s in statistics.items()
         if is_whole(df, c) and c not in fills and (s.high - s.low + 1) / n_rows < min_unique_ratio
     ]
-    distinct = distinct_counts(df, [c for c in statistics if c not in near])
+    bounds = {c: (int(s.low), int(s.high)) for c, s in statistics.items() if is_whole(df, c)}
+    distinct = distinct_counts(df, [c for c in statistics if c not in near], bounds)
     # a fill value that no cell holds adds one distinct value; it matters only right at the cut
     edge = [c for c in fills if c in distinct and distinct[c] / n_rows < min_unique_ratio <= (distinct[c] + 1) / n_rows]
     unseen = _unseen_fills(df, {c: fills[c] for c in edge})

@@ -1,4 +1,9 @@
-"""Value frequencies: exact distinct counts and modes of many columns with one shuffle."""
+"""Value frequencies: exact distinct counts and modes of many columns with one shuffle.
+
+Distinct whole numbers need no exchange of values: between bounds known from one scan, each is a bit. Tasks set the bits
+of 32,768 neighbouring numbers in one map and only maps are shuffled, at most ``BITMAPS`` for a task and column. Wider ranges,
+where a task would fill its maps thinly, and doubles are grouped by value.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,59 @@ from pyspark.sql import types as T
 from tablescope.functions.columns import cell, col, data_type, is_whole
 
 
+#: numbers in one map, and maps of a column; beyond this range values are grouped
+BITMAP_BITS, BITMAPS = 32_768, 128
+
+
+def whole_bounds(df: DataFrame, names: Sequence[str]) -> dict[str, tuple[int, int] | None]:
+    """Smallest and largest value of whole columns; None without values."""
+    if not names:
+        return {}
+    row = df.agg(*[F.struct(F.min(col(c)).alias("lo"), F.max(col(c)).alias("hi")).alias(f"c_{i}") for i, c in enumerate(names)]).first()
+    found = {c: row[f"c_{i}"] for i, c in enumerate(names)}
+    return {c: None if r["lo"] is None else (int(r["lo"]), int(r["hi"])) for c, r in found.items()}
+
+
+def fits_bitmaps(bounds: tuple[int, int]) -> bool:
+    return bounds[1] - bounds[0] < BITMAP_BITS * BITMAPS
+
+
+def distinct_by_bitmaps(df: DataFrame, bounds: dict[str, tuple[int, int]]) -> dict[str, int]:
+    """Exact distinct values of whole columns between bounds that ``fits_bitmaps`` accepts; gaps do not count."""
+    # the first value is number 1
+    place = {c: col(c).cast("bigint") - F.lit(lo) + F.lit(1) for c, (lo, _) in bounds.items()}
+    single = [c for c, (lo, hi) in bounds.items() if hi - lo < BITMAP_BITS]
+    several = [c for c in bounds if c not in single]
+    found = {}
+    if single:
+        maps = [F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(place[c]))).alias(f"c_{i}") for i, c in enumerate(single)]
+        found = dict(zip(single, df.agg(*maps).first()))
+    if several:
+        cells = df.select(F.posexplode(F.array(*[place[c] for c in several])).alias("position", "v")).where("v IS NOT NULL")
+        maps = cells.groupBy("position", F.bitmap_bucket_number("v").alias("bucket")).agg(
+            F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("v"))).alias("n")
+        )
+        counted = {r["position"]: r["n"] for r in maps.groupBy("position").agg(F.sum("n").alias("n")).collect()}
+        found |= {c: counted.get(i, 0) for i, c in enumerate(several)}
+    return found
+
+
+def distinct_counts(
+    df: DataFrame, names: Sequence[str], bounds: dict[str, tuple[int, int] | None] | None = None
+) -> dict[str, int]:
+    """Exact numbers of distinct values, whatever the size. ``bounds`` of whole columns save a scan where known."""
+    names = list(names)
+    whole = [c for c in names if is_whole(df, c)]
+    known = {c: b for c, b in (bounds or {}).items() if c in whole}
+    known |= whole_bounds(df, [c for c in whole if c not in known])
+    mapped = {c: b for c, b in known.items() if b is not None and fits_bitmaps(b)}
+    found = distinct_by_bitmaps(df, mapped)
+    found |= {c: 0 for c, b in known.items() if b is None}
+    rest = value_summary(df, [c for c in names if c not in found], modes=False)
+    found |= {c: s.n_distinct for c, s in rest.items()}
+    return {c: found[c] for c in names}
+
+
 def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``(position, whole, real, rows)``: how often each value of each column occurs.
 

@@ -30,8 +30,10 @@ def run_query(spark: SparkSession, query: str) -> DataFrame:
 
 
 def default_query(tables: list[str]) -> str:
-    table = tables[0] if tables else "ma_table"
-    return f"SELECT * FROM {table} LIMIT {DEFAULT_ROWS}"
+    """The first rows of the first table."""
+    if not tables:
+        raise ValueError("no table is registered")
+    return f"SELECT * FROM {tables[0]} LIMIT {DEFAULT_ROWS}"
 
 
 def shape(df: DataFrame) -> tuple[int, int]:

@@ -9,7 +9,8 @@ from tablescope.functions.columns import filled, measure
 from tablescope.operators.bins import Bin, balanced_bins, merged_bins
 from tablescope.operators.quantiles import exact_quantiles, order_statistics
 from tablescope.operators.ranks import average_ranks
-from tablescope.operators.values import value_summary
+from tablescope.operators import values as value_module
+from tablescope.operators.values import distinct_by_bitmaps, distinct_counts, fits_bitmaps, value_summary
 
 PROBABILITIES = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
 
@@ -147,3 +148,46 @@ def test_eight_columns_are_ranked_in_two_shuffles(frame):
     assert plan.count("Exchange hashpartitioning") == 2
     found = ranks.toPandas().sort_values("row")[list(pdf)].to_numpy()
     np.testing.assert_allclose(found, pdf.rank().to_numpy())
+
+
+def plans_of(monkeypatch, run):
+    """What ``run`` returns, and the executed plans of its frames."""
+    seen = []
+    summary, bitmaps = value_module.value_summary, value_module.distinct_by_bitmaps
+    monkeypatch.setattr(value_module, "value_summary", lambda df, names, **k: seen.append(("values", list(names))) or summary(df, names, **k))
+    monkeypatch.setattr(value_module, "distinct_by_bitmaps", lambda df, b: seen.append(("maps", list(b))) or bitmaps(df, b))
+    return run(), seen
+
+
+def test_whole_numbers_are_counted_by_bitmaps(spark, monkeypatch):
+    big = 2**62
+    df = spark.range(200_000).selectExpr(
+        "id AS dense", f"{big} + id DIV 3 AS high", "-(id % 7) AS few", "id * 10000000 AS sparse", "id / 4 AS real",
+        "CAST(NULL AS int) AS none", "IF(id % 3 = 0, -32768 * (id % 2), NULL) AS gaps", "CAST(id % 100 AS tinyint) AS tiny",
+    )
+    found, seen = plans_of(monkeypatch, lambda: distinct_counts(df.repartition(3), df.columns))
+    assert found == {
+        "dense": 200_000, "high": 66_667, "few": 7, "sparse": 200_000, "real": 200_000, "none": 0, "gaps": 2, "tiny": 100,
+    }
+    assert seen == [("maps", ["dense", "high", "few", "gaps", "tiny"]), ("values", ["sparse", "real"])]
+
+
+def test_bitmaps_at_their_edges(spark):
+    limit = value_module.BITMAP_BITS * value_module.BITMAPS
+    assert fits_bitmaps((5, 5 + limit - 1)) and not fits_bitmaps((5, 5 + limit))
+    rows = [(-(2**63), 32_767), (-(2**63) + limit - 1, 32_768), (-(2**63), 65_535), (None, 0), (-(2**63) + 32_767, -1), (-(2**63) + 32_768, -1)]
+    df = spark.createDataFrame(rows, "low long, step long")
+    assert distinct_by_bitmaps(df, {"low": (-(2**63), -(2**63) + limit - 1), "step": (-1, 65_535)}) == {"low": 4, "step": 5}
+    assert distinct_counts(df.limit(0), ["low", "step"]) == {"low": 0, "step": 0}
+
+
+def test_only_maps_are_shuffled(spark):
+    df = spark.range(300_000).selectExpr("id AS dense", "id % 9 AS few")
+    df.sparkSession.sparkContext.setJobGroup("maps", "maps")
+    assert distinct_counts(df, ["dense", "few"]) == {"dense": 300_000, "few": 9}
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("maps") for s in tracker.getJobInfo(j).stageIds]
+    store = spark._jsparkSession.sparkContext().statusStore()
+    written = sum(store.lastStageAttempt(s.stageId).shuffleWriteRecords() for s in stages if s)
+    assert written <= 200  # ten maps a task, not 300,000 values
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
