@@ -452,3 +452,17 @@ def test_row_coordinates_are_narrow(spark):
     plan = found.row_coordinates._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_axes_that_have_not_converged_are_reported(spark, monkeypatch):
+    """One round is not enough for two wide columns of little order; the result says so, and so does the audit's step."""
+    from tablescope.operators import level_krylov, wide_levels
+    from tablescope.plans.audit import AuditConfig, AuditResult
+
+    df = spark.range(900).select((F.col("id") * 7919 % 97).alias("a"), (F.xxhash64("id") % 89).alias("b"))
+    monkeypatch.setattr(wide_levels, "leading_axes", lambda m, n: level_krylov.leading_axes(m, n, rounds=1))
+    found = mca(df, ["a", "b"], dense_levels=20)
+    assert not found.converged and found.residuals.max() > 1e-4
+    result = AuditResult(AuditConfig(), df, None)
+    assert result.attempt("mca", lambda: found) is found
+    assert result.steps[0][:2] == ("mca", "failed") and "not converged" in result.steps[0][2]
