@@ -179,40 +179,3 @@ def _many_codes(df: DataFrame, brackets: Mapping[str, Sequence[Bracket]]) -> Dat
     rulers = [_Ruler(bs, index) for bs in brackets.values()]
     codes = [F.when(r.inside(value), index * PIECES + r.piece(value)) for r in rulers]
     return cells.withColumn("code", by_column(codes))
-
-
-def balanced_bins(
-    df: DataFrame, bounds: Mapping[str, tuple[float, float]], most_rows: int, pieces: int = PIECES
-) -> dict[str, list[Bin]]:
-    """Ascending bins of each column; a bin with more than ``most_rows`` rows holds one single value."""
-    done: dict[str, list[Bin]] = {c: [] for c in bounds}
-    brackets = {c: [Bracket(lo, hi, pieces)] for c, (lo, hi) in bounds.items()}
-    while brackets:
-        found = split_brackets(df, brackets)
-        brackets = {}
-        for c, groups in found.items():
-            bins = [b for group in groups for b in group]
-            heavy = [b for b in bins if b.rows > most_rows and not b.single]
-            done[c].extend(b for b in bins if b.rows <= most_rows or b.single)
-            if heavy:
-                brackets[c] = [
-                    Bracket(b.low, b.high, max(16, min(pieces, 4 * math.ceil(b.rows / most_rows)))) for b in heavy
-                ]
-    return {c: sorted(bins, key=lambda b: b.low) for c, bins in done.items()}
-
-
-def merged_bins(bins: Sequence[Bin], most_rows: int, keep: int = PIECES) -> list[Bin]:
-    """Join small neighbours up to ``most_rows``; a frequent value stays alone. Few single values stay as is."""
-    if len(bins) <= keep and all(b.single for b in bins):
-        return list(bins)
-    merged: list[Bin] = []
-    for b in bins:
-        alone = b.single and b.rows > most_rows // 4
-        if merged and not alone:
-            last = merged[-1]
-            last_alone = last.single and last.rows > most_rows // 4
-            if not last_alone and last.rows + b.rows <= most_rows:
-                merged[-1] = Bin(last.low, b.high, last.rows + b.rows)
-                continue
-        merged.append(b)
-    return merged

@@ -120,16 +120,10 @@ def p_value_matrix(matrix: np.ndarray, n_rows: int) -> np.ndarray:
     return p
 
 
-def spearman_moments(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    bounds: Mapping[str, tuple[float, float]] | None = None,
-    n_rows: int | None = None,
-) -> Moments:
+def spearman_moments(df: DataFrame, values: Mapping[str, Column]) -> Moments:
     """Moments of the average ranks."""
     slots = {c: f"r_{i}" for i, c in enumerate(values)}
-    slot_bounds = None if bounds is None else {slots[c]: bounds[c] for c in values}
-    _, ranks = average_ranks(df, {slots[c]: values[c] for c in values}, bounds=slot_bounds, n_rows=n_rows)
+    _, ranks = average_ranks(df, {slots[c]: values[c] for c in values})
     found = cross_moments(ranks, {s: F.col(s) for s in slots.values()})
     return replace(found, columns=tuple(values))
 
@@ -156,10 +150,7 @@ def correlation(
     if chosen == "pearson":
         used = moments if moments is not None else cross_moments(df, values)
     else:
-        bounds = None
-        if moments is not None:
-            bounds = {c: (float(lo), float(hi)) for c, lo, hi in zip(moments.columns, moments.low, moments.high)}
-        used = spearman_moments(df, values, bounds, n_rows)
+        used = spearman_moments(df, values)
     matrix = used.correlation()
     return CorrelationResult(
         tuple(values), used.n, matrix, p_value_matrix(matrix, used.n), chosen, tested, all_normal

@@ -38,10 +38,13 @@ def remove(spark: SparkSession, location: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, label: str = "table") -> DataFrame:
-    """The rows as a table in the shared folder: read several times, computed once, safe when executors are lost."""
+def written(df: DataFrame, label: str = "table", **options: str) -> DataFrame:
+    """The rows as a table in the shared folder: read several times, computed once, safe when executors are lost.
+
+    ``options`` go to the Parquet writer.
+    """
     location = new_folder(df.sparkSession, label)
-    df.write.parquet(location)
+    df.write.options(**options).parquet(location)
     return df.sparkSession.read.schema(df.schema).parquet(location)
 
 

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescope.functions.columns import filled, measure
-from tablescope.operators.bins import Bin, balanced_bins, merged_bins
 from tablescope.operators.quantiles import exact_quantiles, order_statistics
+from tablescope.operators import ranks as rank_module
 from tablescope.operators.ranks import average_ranks
 from tablescope.operators import values as value_module
 from tablescope.operators.values import distinct_by_bitmaps, distinct_counts, fits_bitmaps, value_summary
@@ -60,45 +60,41 @@ def test_order_statistics_with_no_rows(frame):
     assert order_statistics(df, {"x": [0]}, {"x": (1, 1.0, 1.0)}) == {"x": {0: 1.0}}
 
 
-def test_bins_cover_all_rows_and_isolate_frequent_values(frame):
-    pdf = hostile()
-    df = frame(pdf)
-    bounds = {c: (float(pdf[c].min()), float(pdf[c].max())) for c in pdf if pdf[c].min() < pdf[c].max()}
-    for c, bins in balanced_bins(df, bounds, most_rows=100, pieces=64).items():
-        assert sum(b.rows for b in bins) == len(pdf)
-        assert all(a.high < b.low for a, b in zip(bins, bins[1:]))
-        assert all(b.rows <= 100 or b.single for b in bins)
-        for b in bins:
-            assert b.rows == ((pdf[c] >= b.low) & (pdf[c] <= b.high)).sum()
-        merged = merged_bins(bins, 100)
-        assert sum(b.rows for b in merged) == len(pdf)
-        assert len(merged) <= len(bins)
-
-
-def test_merging_keeps_frequent_values_alone():
-    bins = [Bin(0, 1, 40), Bin(2, 2, 900), Bin(3, 4, 30), Bin(5, 6, 30)]
-    assert merged_bins(bins, 100) == [Bin(0, 1, 40), Bin(2, 2, 900), Bin(3, 6, 60)]
-
-
-@pytest.mark.parametrize("task_rows", [50, 1000, None])
-def test_ranks_equal_pandas(frame, task_rows):
+# all values looked up, some, none; values are then joined, the frequent ones dealt out
+@pytest.mark.parametrize("looked_up, hot_rows", [(1_000_000, None), (4_000, 100), (0, 50), (0, None)])
+def test_ranks_equal_pandas(frame, monkeypatch, looked_up, hot_rows):
+    monkeypatch.setattr(rank_module, "BLOCK_CELLS", 4_000)  # equal values meet from several blocks
     pdf = hostile(3000)
     pdf["id"] = np.arange(len(pdf))
     df = frame(pdf, 5)
     names = [c for c in pdf if c != "id"]
-    n, ranks = average_ranks(df, {c: filled(df, c) for c in names}, key=["id"], task_rows=task_rows)
+    n, ranks = average_ranks(df, {c: filled(df, c) for c in names}, ["id"], looked_up, hot_rows)
     assert n == len(pdf)
     ours = ranks.toPandas().sort_values("id").reset_index(drop=True)[names]
     pd.testing.assert_frame_equal(ours, pdf[names].rank())
 
 
-def test_identical_rows_are_spread_and_still_ranked(spark):
+@pytest.mark.parametrize("looked_up", [1_000_000, 0])
+def test_ranks_with_missing_cells(frame, looked_up):
+    """NULL has no rank and counts for none; NaN is above every number; a column of NULLs stays one."""
+    pdf = pd.DataFrame({"id": range(6), "x": [2.0, None, 2.0, 1.0, None, 5.0], "y": [None] * 6}).astype("float64")
+    df = frame(pdf).selectExpr("id", "nanvl(x, null) AS x", "nanvl(y, null) AS y", "IF(id > 3, double('NaN'), id) AS z")
+    n, ranks = average_ranks(df, {c: F.col(c) for c in "xyz"}, ["id"], looked_up)
+    assert n == 6
+    found = [tuple(r) for r in ranks.orderBy("id").select("x", "y", "z").collect()]
+    assert found == [
+        (2.5, None, 1.0), (None, None, 2.0), (2.5, None, 3.0), (1.0, None, 4.0), (None, None, 5.5), (4.0, None, 5.5),
+    ]
+
+
+@pytest.mark.parametrize("looked_up", [1_000_000, 0])
+def test_identical_rows_are_spread_and_still_ranked(spark, looked_up):
     """A third of all rows are one and the same row, in every column."""
     df = spark.range(9000).select(
         *[F.when(F.col("id") % 3 == 0, F.lit(5.5)).otherwise(F.rand(i)).alias(f"x{i}") for i in range(2)]
     )
     df = df.select(*[F.round(c, 6).alias(c) for c in df.columns]).checkpoint()
-    n, ranks = average_ranks(df, {c: F.col(c) for c in df.columns}, task_rows=200)
+    n, ranks = average_ranks(df, {c: F.col(c) for c in df.columns}, looked_up_values=looked_up, hot_rows=200)
     expected = df.toPandas().rank()
     ours = ranks.toPandas()
     for c in df.columns:
@@ -108,17 +104,51 @@ def test_identical_rows_are_spread_and_still_ranked(spark):
 
 def test_ranks_of_nothing(frame):
     df = frame(pd.DataFrame({"x": [1.0]})).where("x > 3")
-    n, ranks = average_ranks(df, {"x": F.col("x")})
-    assert (n, ranks.count()) == (0, 0)
+    for looked_up in (0, 10):
+        n, ranks = average_ranks(df, {"x": F.col("x")}, looked_up_values=looked_up)
+        assert (n, ranks.count()) == (0, 0)
 
 
-def test_looked_up_ranks_are_not_shuffled(frame):
+def test_looked_up_ranks_move_no_row(frame):
     pdf = hostile(3000)[["normal", "whole"]]
-    df = frame(pdf)
-    _, ranks = average_ranks(df, {c: F.col(c) for c in pdf}, task_rows=100)
-    plan = ranks._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(position") == 1 and "position#" in plan  # nine values are looked up
-    assert plan.count("Window [") == 1
+    df = frame(pdf).checkpoint()
+    _, ranks = average_ranks(df, {c: F.col(c) for c in pdf})
+    assert "Exchange" not in ranks._jdf.queryExecution().executedPlan().toString()
+    _, ranks = average_ranks(df, {c: F.col(c) for c in pdf}, looked_up_values=100)
+    plan = ranks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # nine values are looked up
+
+
+@pytest.mark.parametrize("looked_up", [1_000_000, 0])
+def test_a_repeated_task_may_see_its_rows_in_another_order(spark, frame, looked_up):
+    """Each run of the input's tasks deals its rows in a new order, as a task behind a shuffle does after a loss."""
+    pdf = pd.DataFrame({"id": range(4000), "x": np.arange(4000) % 977 / 7.0, "y": (np.arange(4000) * 31 % 1009) * 1.5})
+
+    def shuffled(batches):
+        for batch in batches:
+            yield batch.sample(frac=1.0)
+
+    df = frame(pdf).mapInPandas(shuffled, "id long, x double, y double")
+    first, again = ([r["id"] for r in df.collect()] for _ in range(2))
+    assert first != again
+    _, ranks = average_ranks(df, {c: F.col(c) for c in "xy"}, ["id"], looked_up, hot_rows=3)
+    for _ in range(2):
+        ours = ranks.toPandas().sort_values("id").reset_index(drop=True)
+        pd.testing.assert_frame_equal(ours[["x", "y"]], pdf[["x", "y"]].rank())
+
+
+def test_only_counted_values_are_shuffled(spark):
+    """200,000 rows of nine values and of 500: the shuffle behind the ranges carries counts, not cells."""
+    df = spark.range(0, 200_000, 1, 4).selectExpr("CAST(id % 9 AS double) AS few", "CAST(id % 500 AS double) AS more")
+    spark.sparkContext.setJobGroup("ranks", "ranks")
+    n, _ = average_ranks(df, {c: F.col(c) for c in df.columns}, looked_up_values=0)
+    assert n == 200_000
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("ranks") for s in tracker.getJobInfo(j).stageIds}
+    store = spark._jsparkSession.sparkContext().statusStore()
+    moved = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages if tracker.getStageInfo(s))
+    assert 509 <= moved <= 3_000
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_value_summary_counts_exactly(spark):
@@ -138,14 +168,12 @@ def test_mode_takes_the_smallest_of_ties(frame):
     assert (found["x"].mode, found["k"].mode) == (-1.0, 4)
 
 
-def test_eight_columns_are_ranked_in_two_shuffles(frame):
+def test_eight_columns_of_which_some_are_joined(frame):
     rng = np.random.default_rng(6)
     pdf = pd.DataFrame({f"c{i}": np.round(rng.standard_normal(900) * 50, i % 3) for i in range(8)})
     pdf["c3"] = np.where(pdf.index % 3 == 0, 1.5, pdf["c3"])  # a third of the rows share one value
     df = frame(pdf.assign(row=range(900)))
-    _, ranks = average_ranks(df, {c: F.col(c) for c in pdf}, key=["row"], task_rows=50)
-    plan = ranks._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 2
+    _, ranks = average_ranks(df, {c: F.col(c) for c in pdf}, key=["row"], looked_up_values=1_500, hot_rows=50)
     found = ranks.toPandas().sort_values("row")[list(pdf)].to_numpy()
     np.testing.assert_allclose(found, pdf.rank().to_numpy())
 

@@ -63,6 +63,19 @@ def average_rank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranks)
 
 
+@query(
+    f"""SELECT l_orderkey, l_linenumber, {", ".join(r(c, c) for c in ("quantity", "net", "charge"))}
+    FROM ({ranked(PRICE_LINES, ("quantity", "net", "charge"), ("l_orderkey", "l_linenumber"))})"""
+)
+def joined_rank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows meet the ranks of many values by joins, frequent values dealt out; only the quantities are looked up."""
+    table = derived(spark, sf_dir, PRICE_LINES)
+    values = {c: filled(table, c) for c in ("quantity", "net", "charge")}
+    key = ["l_orderkey", "l_linenumber"]
+    _, ranks = average_ranks(table, values, key, looked_up_values=1_000, hot_rows=2)
+    return rounded(ranks)
+
+
 @query(
     " UNION ALL ".join(
         f"""SELECT var_i, var_j, {r('c * sqrt((n - 2) / (1 - c * c))', 't', 3)}
