@@ -38,7 +38,7 @@ _EVERY_ROW = -1
 
 
 @dataclass(frozen=True)
-class _Ranked:
+class ColumnParts:
     """Distinct values of a column in the table of places: how many, and the rows below each of its parts."""
 
     position: int
@@ -81,7 +81,7 @@ def average_ranks(
     places, found = None, {}
     if many:
         places = written(value_places(runs.where(F.col("position").isin(many))), "places", **_DISTINCT)
-        found = _prefix_sums(places, many)
+        found = prefix_sums(places, many)
         fitting, _ = _fitting({i: f.n_values for i, f in found.items()}, room)
         tables += [places.where(F.col("position").isin(fitting))] if fitting else []
         found = {i: f for i, f in found.items() if i not in fitting}
@@ -183,7 +183,7 @@ def _running_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield summed(*waiting)
 
 
-def _prefix_sums(places: DataFrame, positions: Sequence[int]) -> dict[int, _Ranked]:
+def prefix_sums(places: DataFrame, positions: Sequence[int]) -> dict[int, ColumnParts]:
     """Of each column the rows below its parts: one line a range and column on the driver."""
     totals = (
         places.groupBy("position", "part")
@@ -197,11 +197,11 @@ def _prefix_sums(places: DataFrame, positions: Sequence[int]) -> dict[int, _Rank
         first, end = mine[0]["part"], mine[-1]["part"]
         # a column's parts follow each other; a gap is a range without rows
         below = [0, *accumulate(rows.get(p, 0) for p in range(first, end))]
-        found[i] = _Ranked(i, sum(r["n_values"] for r in mine), first, below, max(r["most"] for r in mine))
+        found[i] = ColumnParts(i, sum(r["n_values"] for r in mine), first, below, max(r["most"] for r in mine))
     return found
 
 
-def _column_ranks(places: DataFrame, found: _Ranked) -> DataFrame:
+def _column_ranks(places: DataFrame, found: ColumnParts) -> DataFrame:
     """``(__value, __rank, __rows)`` of one column."""
     below = at(double_array(found.below), F.col("part") - F.lit(found.first_part))
     rank = below + F.col("upto") - (F.col("rows") - F.lit(1)) / F.lit(2.0)
@@ -247,7 +247,7 @@ def _looked_up(frame: DataFrame, tables: Sequence[DataFrame], columns: Mapping[s
     return frame.mapInArrow(run, frame.schema)
 
 
-def _joined(frame: DataFrame, column: str, ranks: DataFrame, found: _Ranked, hot_rows: int) -> DataFrame:
+def _joined(frame: DataFrame, column: str, ranks: DataFrame, found: ColumnParts, hot_rows: int) -> DataFrame:
     """The same for more values than fit on every executor: a join on the value.
 
     Frequent values, at most as many as ``hot_rows`` go into the table, are looked up; their rows match nothing in the

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.columns import filled, measure
 from tablescope.operators.quantiles import exact_quantiles, order_statistics
+from tablescope.operators import quantiles as quantile_module
 from tablescope.operators import ranks as rank_module
 from tablescope.operators.ranks import average_ranks
 from tablescope.operators import values as value_module
@@ -47,6 +48,40 @@ def test_quantiles_equal_sorting(frame, fetch_rows):
             assert q == a + (b - a) * (h - np.floor(h)), (c, p)
 
 
+@pytest.mark.parametrize("fetch_rows", [10, 5_000])
+def test_ranks_missed_by_their_sketches_are_found(frame, monkeypatch, fetch_rows):
+    """Brackets far from their ranks: every rank lies in a gap."""
+    pdf = hostile(3000)[["normal", "hot", "decades", "whole"]]
+    df = frame(pdf)
+    known = {c: (len(pdf), float(pdf[c].min()), float(pdf[c].max())) for c in pdf}
+    far = {c: [(float(np.quantile(pdf[c], 0.9)), float(np.quantile(pdf[c], 0.95)))] for c in pdf}
+    monkeypatch.setattr(quantile_module, "_sketched_brackets", lambda *a: far)
+    found = order_statistics(df, {c: [0, 700, 1500, 2999] for c in pdf}, known, fetch_rows)
+    for c in pdf:
+        ordered = np.sort(pdf[c].to_numpy())
+        assert found[c] == {k: ordered[k] for k in (0, 700, 1500, 2999)}
+
+
+@pytest.mark.parametrize("fetch_rows", [100, 100_000])
+def test_quantiles_read_the_table_twice(spark, tmp_path, fetch_rows):
+    n = 300_000
+    spark.range(0, n, 1, 4).selectExpr("id * 7919 % 300007 / 8 AS a", "CAST(id % 13 AS double) AS b").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    pdf = df.toPandas()
+    known = {c: (n, float(pdf[c].min()), float(pdf[c].max())) for c in pdf}
+    group = f"quantiles {fetch_rows}"
+    spark.sparkContext.setJobGroup(group, group)
+    found = exact_quantiles(df, (0.25, 0.5, 0.75), known, fetch_rows)
+    for c in pdf:
+        assert found[c] == list(np.quantile(pdf[c], (0.25, 0.5, 0.75)))
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    store = spark._jsparkSession.sparkContext().statusStore()
+    read = sum(store.lastStageAttempt(s).inputRecords() for s in stages if tracker.getStageInfo(s))
+    assert 2 * n <= read < 2.2 * n  # the rest are the values inside the brackets
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_quantiles_skip_missing_cells(frame):
     pdf = pd.DataFrame({"x": [4.0, np.nan, 1.0, np.inf, 3.0, -np.inf, 2.0]})
     df = frame(pdf)
