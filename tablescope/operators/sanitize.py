@@ -167,9 +167,13 @@ class SanitizedTable:
     dropped_constant_cols: list[str]
     dropped_low_variance_cols: list[str]
     imputed_values: int
+    #: rows of the clean table where they are known already
+    n_rows_kept: int | None = None
 
     @cached_property
     def n_rows_output(self) -> int:
+        if self.n_rows_kept is not None:
+            return self.n_rows_kept
         filtered = self.plan.columns and self.plan.remove_outliers
         return self.df.count() if filtered else self.n_rows_input
 

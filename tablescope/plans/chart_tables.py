@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescope.functions.columns import col
 from tablescope.operators.correlation import ALPHA, CorrelationResult, lower_triangle
 from tablescope.operators.factors import FactorResult
 from tablescope.operators.pca import PCAResult
@@ -12,6 +13,7 @@ from tablescope.operators.pca import PCAResult
 STRONG_LOADING = 0.4
 ARROW_SHARE = 0.9
 LABEL_FACTOR = 1.07
+BIPLOT_POINTS = 2_000
 
 
 def heatmap_cells(spark: SparkSession, result: CorrelationResult, mask: bool = True, alpha: float = ALPHA) -> DataFrame:
@@ -56,9 +58,17 @@ def biplot_arrows(spark: SparkSession, result: PCAResult) -> DataFrame:
     )
 
 
-def biplot_points(result: PCAResult, fraction: float | None = None, seed: int = 42) -> DataFrame:
-    """Row points, all of them or a sample for display."""
-    return result.scores if fraction is None else result.scores.sample(fraction=fraction, seed=seed)
+def biplot_points(result: PCAResult, most: int | None = BIPLOT_POINTS) -> DataFrame:
+    """Row points for display: at most ``most``, those whose keys have the smallest MD5; None gives all of them.
+
+    The choice depends neither on partitions nor on the order of rows. Each task keeps ``most`` rows at a time. Tables without
+    key columns are chosen from by their scores.
+    """
+    if most is None:
+        return result.scores
+    key = [c for c in result.scores.columns if c not in result.components] or list(result.components)
+    text = F.concat_ws(",", *[col(c).cast("string") for c in key])
+    return result.scores.orderBy(F.md5(text), *[col(c) for c in key]).limit(most)
 
 
 def scree(spark: SparkSession, result: FactorResult) -> DataFrame:

@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 REUSE = ("none", "persist", "table")
 
@@ -48,13 +49,18 @@ def written(df: DataFrame, label: str = "table", **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(location)
 
 
-def reusable(df: DataFrame, how: str) -> DataFrame:
-    """``persist`` is rebuilt from the source when executors are lost; ``table`` is written once and read back."""
+def reusable(df: DataFrame, how: str, counted: Observation | None = None) -> DataFrame:
+    """``persist`` is rebuilt from the source when executors are lost; ``table`` is written once and read back.
+
+    ``counted`` receives the number of ``rows`` while the table is written.
+    """
     if how not in REUSE:
         raise ValueError(f"reuse must be one of {REUSE}, got {how!r}")
     if how == "persist":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return written(df) if how == "table" else df
+    if how == "none":
+        return df
+    return written(df if counted is None else df.observe(counted, F.count(F.lit(1)).alias("rows")))
 
 
 def release(df: DataFrame, how: str) -> None:

@@ -1,3 +1,4 @@
+from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
@@ -8,9 +9,10 @@ from pyspark.sql import functions as F
 from tablescope import TableAnalysis
 from tablescope.operators.correlation import CorrelationResult
 from tablescope.operators.mca import mca
+from tablescope.operators.sanitize import sanitize
 from tablescope.plans import chart_tables, findings
 from tablescope.plans import audit as audit_module
-from tablescope.plans.audit import AuditConfig, audit
+from tablescope.plans.audit import AuditConfig, audit, kept_table
 from tablescope.sources.demo import demo_table
 
 
@@ -125,6 +127,16 @@ def test_heatmap(spark):
     assert shown == {"0.46", "-0.02", "0.30"}
 
 
+@pytest.mark.parametrize("how, jobs", [("table", 0), ("none", 1)])
+def test_rows_are_counted_while_the_clean_table_is_written(spark, how, jobs):
+    cleaned = kept_table(sanitize(demo_table(spark, 240, partitions=3).drop("row_id")), how)
+    spark.sparkContext.setJobGroup(f"report {how}", "report")
+    rows = cleaned.report.n_rows_output
+    assert min(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"report {how}")), 1) == jobs
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert rows == cleaned.df.count() == 240 - cleaned.report.outliers_removed < 240
+
+
 def test_variance_curve(spark, analysis):
     found = analysis.pca()
     curve = chart_tables.variance_curve(spark, found).orderBy("component").collect()
@@ -139,8 +151,10 @@ def test_biplot(spark, analysis):
     arrows = chart_tables.biplot_arrows(spark, found).toPandas().set_index("variable").loc[list(found.variables)]
     np.testing.assert_allclose(arrows["x"], found.loadings[:, 0] * scale)
     np.testing.assert_allclose(arrows["label_y"], found.loadings[:, 1] * scale * 1.07)
-    assert chart_tables.biplot_points(found).count() == 168
-    assert chart_tables.biplot_points(found, 0.5).count() < 168
+    assert chart_tables.biplot_points(found).count() == chart_tables.biplot_points(found, None).count() == 168
+    few = [tuple(r) for r in chart_tables.biplot_points(found, 50).collect()]
+    spread = replace(found, scores=found.scores.repartition(7))
+    assert len(few) == 50 and sorted(few) == sorted(tuple(r) for r in chart_tables.biplot_points(spread, 50).collect())
 
 
 def test_scree_and_loading_cells(spark, analysis):

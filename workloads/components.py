@@ -9,6 +9,7 @@ from tablescope import TableAnalysis
 from tablescope.functions.tables import small_table
 from tablescope.operators.pca import ordered_eigen, top_variables
 from tablescope.plans.chart_tables import biplot_arrows, variance_curve
+from tablescope.plans.chart_tables import biplot_points as display_points
 from tablescope.plans.findings import component_summary, rounded as display_rounded
 from workloads.registry import ORDER_PROFILE, PRICE_LINES, derived, load, query, r, rounded
 
@@ -121,6 +122,15 @@ def biplot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(biplot_arrows(spark, _analysis(spark, sf_dir).pca()), 4)
 
 
+@query(
+    f"""WITH {PROFILE_PCA} SELECT l_orderkey, {r('pc1', 'PC1', 5)}, {r('pc2', 'PC2', 5)} FROM scores
+    ORDER BY md5(CAST(l_orderkey AS VARCHAR)), l_orderkey LIMIT 2000"""
+)
+def biplot_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points for display: a sample of fixed size, the same on any partitions."""
+    return rounded(display_points(_analysis(spark, sf_dir).pca()), 5)
+
+
 @query(
     f"""WITH {PROFILE_PCA} SELECT 'PC' || k AS component, printf('%.1f%%', explained * 100) AS explained,
     (SELECT string_agg(label, ', ' ORDER BY rank) FROM top WHERE component = 'PC' || k) AS variables
