@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from tablescope.functions.columns import cell, measure, numeric_columns
 from tablescope.functions.tables import small_table
 from tablescope.operators.sanitize import minimum_requirements, requirements_df
 from tablescope.operators.statistics import column_statistics
+from tablescope.plans.cleaner import TableCleaner
+from tablescope.plans.reuse import new_folder
 from workloads.registry import GAPPY_LINES, PRICE_LINES, derived, load, num, query, r, rounded
 
 
@@ -402,6 +405,30 @@ def plan_for_another_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fitted.plan.apply(derived(spark, sf_dir, GAPPY_LINES), key))
 
 
+HALVES = f"SELECT * FROM ({GAPPY_LINES}) WHERE l_orderkey % 2 = "
+
+
+@query(
+    f"""
+    WITH f AS (SELECT median(quantity) AS fq, median(price) AS fp FROM ({HALVES}0)),
+    h AS (SELECT coalesce(quantity, fq) AS quantity, coalesce(price, fp) AS price FROM ({HALVES}0), f),
+    m AS (SELECT avg(quantity) AS mq, stddev_pop(quantity) AS sq, avg(price) AS mp, stddev_pop(price) AS sp FROM h),
+    g AS (SELECT l_orderkey, l_linenumber, coalesce(quantity, fq) AS quantity, coalesce(price, fp) AS price
+          FROM ({HALVES}1), f)
+    SELECT l_orderkey, l_linenumber, {r('quantity', 'quantity')}, {r('price', 'price')} FROM g, m
+    WHERE abs((quantity - mq) / sq) < 1.5 AND abs((price - mp) / sp) < 1.5
+    """
+)
+def saved_cleaner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline fitted on the even orders, saved, loaded and applied to the odd ones."""
+    key = ["l_orderkey", "l_linenumber"]
+    even, odd = (derived(spark, sf_dir, f"{HALVES}{i}").select(*key, "quantity", "price") for i in (0, 1))
+    cleaner = TableCleaner(zscoreThreshold=1.5, minUniqueRatio=0.0, keyCols=key)
+    location = new_folder(spark, "cleaner")
+    Pipeline(stages=[cleaner]).fit(even).write().save(location)
+    return rounded(PipelineModel.load(location).transform(odd))
+
+
 LARGE_KEYS = """
 SELECT l_quantity, 9007199254740992 + l_linenumber % 2 AS pair, 9007199254740993 + 0 * l_linenumber AS same,
        9007199254740992 + l_orderkey AS large_key
