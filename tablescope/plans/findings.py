@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from tablescope.functions.tables import small_table
 from tablescope.operators.factors import FactorResult
 from tablescope.operators.famd import FAMDResult
 from tablescope.operators.mca import MCAResult
+from tablescope.operators.nearest import closest_pairs
 from tablescope.operators.pca import PCAResult, top_variables
 
 CONTRIBUTING_LOADING = 0.4
@@ -99,41 +98,23 @@ def level_extremes(coordinates: DataFrame) -> DataFrame:
 def closest_levels(spark: SparkSession, result: MCAResult, n_pairs: int = 10) -> DataFrame:
     """``(level_a, level_b, distance)``: the nearest level pairs on the kept axes, without comparing all of them.
 
-    The levels of variables with few of them are sorted along the first axis and compared at growing steps, until even
-    the first axis alone sets every pair farther apart than those found. That distance bounds the search among all
-    levels, which meet in the cells of a grid as wide as it; of levels at one point the first few by name are enough.
+    Few levels are sorted along the first axis and compared at growing steps, until even the first axis alone sets every
+    pair farther apart than those found. Levels in a table meet in the cells of a grid (``closest_pairs``); their
+    coordinates count to 12 decimals, so that levels with the same rows beside them are at one place.
     """
-    names = [f"{result.levels.variables[v]}={text}" for v, text in result.levels.names]
-    best = _sweep(result.level_coordinates, n_pairs)
     if result.wide is None:
-        rows = [(names[i], names[j], d) for d, i, j in best]
+        names = [f"{result.levels.variables[v]}={text}" for v, text in result.levels.names]
+        rows = [(names[i], names[j], d) for d, i, j in _sweep(result.level_coordinates, n_pairs)]
         return small_table(spark, rows, "level_a string, level_b string, distance double")
+    axis = F.struct("dim", (F.round("coordinate", 12) + F.lit(0.0)).alias("coordinate"))
     points = (
         result.levels_df(spark)
         .groupBy(F.concat_ws("=", "variable", "level").alias("name"))
-        .agg(F.array_sort(F.collect_list(F.struct("dim", "coordinate"))).alias("cells"))
+        .agg(F.array_sort(F.collect_list(axis)).alias("cells"))
         .select("name", F.transform("cells", lambda c: c["coordinate"]).alias("at"))
     )
-    if len(best) < n_pairs:  # any points give a bound; these are spread by a hash of their names
-        some = points.orderBy(F.xxhash64("name")).limit(50 * (n_pairs + 1)).collect()
-        best = _sweep(np.array([r["at"] for r in some]), n_pairs)
-    width = max(best[-1][0] if best else 0.0, 1e-12)
-    same = Window.partitionBy("at").orderBy("name")
-    few = points.withColumn("rn", F.row_number().over(same)).where(F.col("rn") <= n_pairs + 1).drop("rn")
-    cell = F.transform("at", lambda x: F.floor(x / F.lit(width)).cast("bigint"))
-    placed = few.withColumn("cell", cell)
-    steps = [F.array(*[F.lit(int(d)).cast("bigint") for d in move]) for move in product((-1, 0, 1), repeat=result.n_components)]
-    around = placed.select("name", "at", F.explode(F.array(*steps)).alias("move")).select(
-        F.col("name").alias("level_b"), F.col("at").alias("there"),
-        F.zip_with(cell, "move", lambda c, m: c + m).alias("cell"),
-    )
-    gap = F.sqrt(F.aggregate(F.zip_with("at", "there", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    near = placed.withColumnRenamed("name", "level_a").join(around, "cell").where(F.col("level_a") < F.col("level_b"))
-    return (
-        near.select("level_a", "level_b", gap.alias("distance"))
-        .orderBy("distance", "level_a", "level_b")
-        .limit(n_pairs)
-    )
+    found = closest_pairs(points, result.n_components, n_pairs)
+    return found.withColumnsRenamed({"name_a": "level_a", "name_b": "level_b"})
 
 
 def _sweep(points: np.ndarray, n_pairs: int) -> list[tuple[float, int, int]]:

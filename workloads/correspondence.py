@@ -11,6 +11,7 @@ from tablescope.functions.columns import level_text
 from tablescope.functions.tables import small_table
 from tablescope.operators.levels import burt_table
 from tablescope.operators.mca import mca
+from tablescope.operators.nearest import closest_pairs
 from tablescope.plans.findings import closest_levels, level_extremes
 from workloads.components import three_variable_pca
 from workloads.registry import BAND_LINES, derived, load, num, query, r, rounded
@@ -191,6 +192,39 @@ def mca_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {MANY_LEVELS},
+    named AS (SELECT 'l_orderkey=' || l_orderkey AS name, g FROM ga UNION ALL SELECT 'net_band=' || b, g FROM gb),
+    placed AS (SELECT name, round(g * f * sqrt((1 + s) / 2), 9) AS at FROM named, flip, s)
+    SELECT x.name AS level_a, y.name AS level_b, 0.0e0 AS distance FROM placed x JOIN placed y ON x.at = y.at AND x.name < y.name
+    ORDER BY 1, 2 LIMIT 12"""
+)
+def mca_closest_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closest pairs of thousands of levels: orders with the same share of large lines lie at one place."""
+    found = mca(derived(spark, sf_dir, BAND_LINES), ("l_orderkey", "net_band"))
+    return rounded(closest_levels(spark, found, 12))
+
+
+ORDER_POINTS = """
+SELECT CAST(o_orderkey AS STRING) AS name, o_totalprice / 1000 AS price,
+       (year(o_orderdate) * 366 + dayofyear(o_orderdate)) * 0.01e0 AS placed
+FROM orders
+"""
+
+
+@query(
+    f"""WITH p AS ({ORDER_POINTS}),
+    d AS (SELECT x.name AS name_a, y.name AS name_b,
+          sqrt((x.price - y.price) * (x.price - y.price) + (x.placed - y.placed) * (x.placed - y.placed)) AS distance
+          FROM p x JOIN p y ON x.name < y.name)
+    SELECT name_a, name_b, {r('distance', 'distance')} FROM (SELECT * FROM d ORDER BY distance, name_a, name_b LIMIT 25)"""
+)
+def closest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closest of all pairs of orders on two axes."""
+    points = derived(spark, sf_dir, ORDER_POINTS).select("name", F.array("price", "placed").alias("at"))
+    return rounded(closest_pairs(points, 2, 25))
+
+
 def three_way(names: tuple[str, str, str], rows: str) -> str:
     """CTEs of the axes of three two-level columns: those of their standardised indicators, the scores over sqrt 3.
 
