@@ -3,14 +3,9 @@
 from __future__ import annotations
 
 import math
-import sys
 from statistics import NormalDist
 
 import numpy as np
-from pyspark import cloudpickle
-
-# the test runs inside Python workers, which need not have this package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Polynomial coefficients published by Royston (1995), constant term first.
 LAST_WEIGHT = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
@@ -26,7 +21,8 @@ def _poly(coefficients: tuple[float, ...], x: float) -> float:
     return float(np.polynomial.polynomial.polyval(x, coefficients))
 
 
-def _weights(n: int) -> np.ndarray:
+def weights(n: int) -> np.ndarray:
+    """What each of n ordered values counts in W; they are antisymmetric and depend on n alone."""
     if n == 3:
         return np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
     inverse = NormalDist().inv_cdf
@@ -34,44 +30,53 @@ def _weights(n: int) -> np.ndarray:
     square = float(scores @ scores)
     unit = scores / math.sqrt(square)
     u = 1.0 / math.sqrt(n)
-    weights = np.empty(n)
+    found = np.empty(n)
     last = unit[-1] + _poly(LAST_WEIGHT, u)
     if n > 5:
         before = unit[-2] + _poly(NEXT_TO_LAST_WEIGHT, u)
         phi = (square - 2 * scores[-1] ** 2 - 2 * scores[-2] ** 2) / (1 - 2 * last**2 - 2 * before**2)
-        weights[2:-2] = scores[2:-2] / math.sqrt(phi)
-        weights[1], weights[-2] = -before, before
+        found[2:-2] = scores[2:-2] / math.sqrt(phi)
+        found[1], found[-2] = -before, before
     else:
         phi = (square - 2 * scores[-1] ** 2) / (1 - 2 * last**2)
-        weights[1:-1] = scores[1:-1] / math.sqrt(phi)
-    weights[0], weights[-1] = -last, last
-    return weights
+        found[1:-1] = scores[1:-1] / math.sqrt(phi)
+    found[0], found[-1] = -last, last
+    return found
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """(W, p). A sample without spread has W = 1, p = 1."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    if n < 3:
-        raise ValueError("at least 3 values are needed")
-    centred = x - np.median(x)
-    spread = float(((centred - centred.mean()) ** 2).sum())
-    if x[-1] - x[0] <= 1e-19 or spread == 0.0:
-        return 1.0, 1.0
-    w = min(1.0, float(_weights(n) @ centred) ** 2 / spread)
-    if n == 3:
-        p = 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, max(0.0, p)
+def statistic(product: float, spread: float, reach: float) -> float:
+    """W from the sum of weight times centred value, the sum of squares and the range; 1 without spread."""
+    if reach <= 1e-19 or spread <= 0.0:
+        return 1.0
+    return min(1.0, product**2 / spread)
+
+
+def p_value(w: float, n: int) -> float:
+    """Royston's approximation of the probability of a smaller W among n normal values."""
     if w >= 1.0:
-        return 1.0, 1.0
+        return 1.0
+    if n == 3:
+        return max(0.0, 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     y = math.log1p(-w)
     if n <= 11:
         gamma = _poly(SMALL_GAMMA, n)
         if y >= gamma:
-            return w, 1e-99
+            return 1e-99
         y = -math.log(gamma - y)
         mean, sd = _poly(SMALL_MEAN, n), math.exp(_poly(SMALL_LOG_SD, n))
     else:
         log_n = math.log(n)
         mean, sd = _poly(LARGE_MEAN, log_n), math.exp(_poly(LARGE_LOG_SD, log_n))
-    return w, 0.5 * math.erfc((y - mean) / sd / math.sqrt(2.0))
+    return 0.5 * math.erfc((y - mean) / sd / math.sqrt(2.0))
+
+
+def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
+    """(W, p) of values at hand. A sample without spread has W = 1, p = 1."""
+    x = np.sort(np.asarray(values, dtype=float))
+    n = len(x)
+    if n < 3:
+        raise ValueError("at least 3 values are needed")
+    centred = x - np.median(x)
+    spread = float(((centred - centred.mean()) ** 2).sum())
+    w = statistic(float(weights(n) @ centred), spread, float(x[-1] - x[0]))
+    return w, p_value(w, n)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tablescope import TableAnalysis
 from tablescope.operators import levels as levels_module
-from tablescope.operators.correlation import normality_df
+from tablescope.functions.normality import shapiro_wilk
+from tablescope.operators.correlation import normality, normality_df
 from tablescope.operators.factors import bartlett_sphericity, kmo, minimum_residual, promax, varimax
 from tablescope.operators.famd import famd
 from tablescope.operators.levels import burt_matrix, count_levels
@@ -79,6 +80,18 @@ def test_normal_columns_choose_pearson(spark, frame, two_factor):
     assert round(table["u1"]["p_value"], 4) == table["u1"]["p_value"]
 
 
+@pytest.mark.parametrize("n", [3, 5, 11, 12, 600])
+def test_normality_of_columns_equals_that_of_samples(spark, frame, n):
+    rng = np.random.default_rng(n)
+    pdf = pd.DataFrame({"bell": rng.normal(1e5, 2, n), "ties": rng.integers(0, 4, n) * 1.0, "fixed": 7.1, "tail": rng.pareto(1, n)})
+    pdf.loc[0, "ties"] = 9.0
+    df = frame(pdf)
+    for found in normality(df, {c: F.col(c) for c in pdf}, n):
+        w, p = shapiro_wilk(pdf[found.variable].to_numpy())
+        assert (found.w, found.p) == (pytest.approx(w, rel=1e-7), pytest.approx(p, rel=1e-4, abs=1e-9))
+        assert found.is_normal == (p >= 0.05)
+
+
 @pytest.mark.parametrize("n", [2, 5001])
 def test_no_normality_test_outside_the_limits(spark, n):
     df = spark.range(n).select("id", (F.col("id") * F.col("id")).alias("square"))
