@@ -198,3 +198,72 @@ def fa_promax(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = TableAnalysis(derived(spark, sf_dir, ORDER_PROFILE), _STRUCTURE).factor_analysis(2, "promax")
     between = F.lit(float(found.factor_correlations[0, 1])).alias("factor_correlation")
     return rounded(found.loadings_df(spark).select("*", between))
+
+
+# Two factors with known loadings: f from the customers, g and six errors from signs that are crossed with them. Of three signs
+# a, b, c the seven products are uncorrelated, so the loadings of a column are its weights of f and g over its deviation,
+# the residual correlations are exactly 0, and only the rotation is left to be found.
+_WEIGHTS = {
+    "u1": (0.9, 0.3, 0.5), "u2": (0.8, -0.2, 0.6), "u3": (0.7, 0.5, 0.4),
+    "v1": (0.2, 0.9, 0.5), "v2": (-0.3, 0.8, 0.6), "v3": (0.4, 0.7, 0.7),
+}
+_SIGNS = " ".join(f"CROSS JOIN (SELECT 1.0e0 AS {x} UNION ALL SELECT -1.0e0 AS {x}) sign_{x}" for x in "abc")
+TWO_FACTORS = f"""
+SELECT c_custkey, {", ".join(
+    f"{f}e0 * c_acctbal * 0.0003e0 + {g}e0 * a + {own}e0 * {error} AS {name}"
+    for (name, (f, g, own)), error in zip(_WEIGHTS.items(), ("b", "c", "(a * b)", "(a * c)", "(b * c)", "(a * b * c)")))}
+FROM customer {_SIGNS}
+"""
+
+# Kaiser's angle for two factors is closed: rows of unit length, u and v the cosine and sine of twice their angles.
+_KAISER = f"""
+m AS (SELECT stddev_pop(c_acctbal * 0.0003e0) AS s FROM customer),
+mix AS ({" UNION ALL ".join(
+    f"SELECT '{name}' AS variable, {f}e0 AS f, {g}e0 AS g, {own}e0 AS own" for name, (f, g, own) in _WEIGHTS.items())}),
+known AS (SELECT variable, f * s / sqrt(f * f * s * s + g * g + own * own) AS x, g / sqrt(f * f * s * s + g * g + own * own) AS y
+          FROM mix, m),
+uv AS (SELECT (x * x - y * y) / (x * x + y * y) AS u, 2 * x * y / (x * x + y * y) AS v FROM known),
+angle AS (SELECT atan2(2 * sum(u * v) - 2 * sum(u) * sum(v) / count(*),
+          sum(u * u - v * v) - (sum(u) * sum(u) - sum(v) * sum(v)) / count(*)) / 4 AS t FROM uv),
+turned AS (SELECT variable, x * cos(t) + y * sin(t) AS p, y * cos(t) - x * sin(t) AS q FROM known, angle),
+sizes AS (SELECT sum(p * p) >= sum(q * q) AS in_order, sign(sum(p)) AS sp, sign(sum(q)) AS sq FROM turned),
+simple AS (SELECT variable, CASE WHEN in_order THEN p * sp ELSE q * sq END AS p,
+           CASE WHEN in_order THEN q * sq ELSE p * sp END AS q FROM turned, sizes)
+"""
+
+
+def _two_factors(spark: SparkSession, sf_dir: str, rotation: str):
+    table = derived(spark, sf_dir, TWO_FACTORS)
+    return TableAnalysis(table, tuple(_WEIGHTS)).factor_analysis(n_factors=2, rotation=rotation)
+
+
+@query(
+    f"""WITH {_KAISER} SELECT variable, 'F1' AS component, {r('p', 'loading', 5)}, {r('p * p + q * q', 'communality', 5)} FROM simple
+    UNION ALL SELECT variable, 'F2', {r('q', 'loading', 5)}, {r('p * p + q * q', 'communality', 5)} FROM simple"""
+)
+def fa_two_varimax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two factors turned to simple structure; the oracle turns the known loadings by Kaiser's angle."""
+    found = _two_factors(spark, sf_dir, "varimax")
+    loadings = found.loadings_df(spark).select("variable", "component", "loading")
+    return rounded(loadings.join(found.communalities_df(spark), "variable"), 5)
+
+
+@query(
+    f"""WITH {_KAISER},
+    t AS (SELECT *, sign(p) * power(p, 4) AS tp, sign(q) * power(q, 4) AS tq FROM simple),
+    h AS (SELECT sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq, sum(p * tp) AS h11, sum(p * tq) AS h12,
+          sum(q * tp) AS h21, sum(q * tq) AS h22 FROM t),
+    fit AS (SELECT (qq * h11 - pq * h21) / (pp * qq - pq * pq) AS a, (qq * h12 - pq * h22) / (pp * qq - pq * pq) AS b,
+            (pp * h21 - pq * h11) / (pp * qq - pq * pq) AS c, (pp * h22 - pq * h12) / (pp * qq - pq * pq) AS d FROM h),
+    unit AS (SELECT a * e AS a, c * e AS c, b * g AS b, d * g AS d FROM (SELECT *, sqrt(b * b + d * d) / abs(a * d - b * c) AS e,
+             sqrt(a * a + c * c) / abs(a * d - b * c) AS g FROM fit)),
+    oblique AS (SELECT variable, p * a + q * c AS p, p * b + q * d AS q,
+                -(c * d + a * b) / power(a * d - b * c, 2) AS between_factors FROM simple, unit)
+    SELECT variable, 'F1' AS component, {r('p', 'loading', 5)}, {r('between_factors', 'factor_correlation', 5)} FROM oblique
+    UNION ALL SELECT variable, 'F2', {r('q', 'loading', 5)}, {r('between_factors', 'factor_correlation', 5)} FROM oblique"""
+)
+def fa_two_promax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two oblique factors and their correlation; the oracle fits the powered loadings with 2 x 2 algebra."""
+    found = _two_factors(spark, sf_dir, "promax")
+    between = F.lit(float(found.factor_correlations[0, 1])).alias("factor_correlation")
+    return rounded(found.loadings_df(spark).select("variable", "component", "loading", between), 5)
