@@ -19,11 +19,13 @@ MISSING_TEXTS = (
     "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-WHOLE_PATTERN = r"^[+-]?\d+$"
 REAL_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INFINITE_TEXTS = ("inf", "+inf", "-inf", "Infinity", "+Infinity", "-Infinity")
 BOOLEAN_TEXTS = ("True", "False", "TRUE", "FALSE", "true", "false")
 
+#: what the cells of a column look like, as bits: masks of parts of a file combine by "or"
+WHOLE, REAL, BOOLEAN, TEXT = 1, 2, 4, 8
+
 #: takes what a row has beyond the header's fields
 _SURPLUS = "__surplus_field"
 
@@ -62,12 +64,13 @@ def read_csv(
     """Read CSV from any location Spark can open (``file:``, ``hdfs:``, ``s3a:``, …), with a header row.
 
     Without ``schema`` one scan decides each column's type (bigint, double, boolean or string), treating the
-    usual texts for missing values as NULL. Give a schema for very large files to save that scan: it names every
-    column of the file, in the file's order or by the file's names. ``multiline`` allows line breaks inside quotes, at
-    the price of one task per file. Without ``separator`` the first ``sniff_lines`` lines decide it.
+    usual texts for missing values as NULL; later scans parse only the columns they ask for. Give a schema for very
+    large files to save that scan: it names every column of the file, in the file's order or by the file's names.
+    ``multiline`` allows line breaks inside quotes, at the price of one task per file. Without ``separator`` the first
+    ``sniff_lines`` lines decide it.
 
     A row with fewer fields than the header has NULL in the others. A row with a further field that holds something
-    fails the job that reads it, so that nothing is lost unseen.
+    fails the scan for types, or with a schema the job that reads it, so that nothing is lost unseen.
     """
     if separator is None:
         first = spark.read.text(location).limit(sniff_lines).collect()
@@ -82,22 +85,24 @@ def read_csv(
         .option("multiLine", multiline)
     )
     names = reader.option("inferSchema", False).csv(location).columns
-    fields = [T.StructField(c, T.StringType()) for c in [*names, _SURPLUS]]
-    # the filter looks at the surplus whichever columns are asked for
-    surplus = F.concat(F.lit(f"{location_label(location)} has a row with more than {len(names)} fields, such as "), F.col(_SURPLUS))
-    whole = F.when(F.col(_SURPLUS).isNull(), F.lit(True)).otherwise(F.raise_error(surplus).cast("boolean"))
-    texts = reader.schema(T.StructType(fields)).csv(location).where(whole).drop(_SURPLUS)
+    plain = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    texts = reader.schema(T.StructType([*plain.fields, T.StructField(_SURPLUS, T.StringType())])).csv(location)
+    excess = f"{location_label(location)} has a row with more than {len(names)} fields, such as "
     if schema is not None:
         wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         if len(wanted.fields) != len(names):
             raise ValueError(f"the schema names {len(wanted.fields)} columns {wanted.names}, the file has {names}")
         by_name = set(wanted.names) == set(names)
         sources = wanted.names if by_name else names
-        return texts.select(
+        # the filter looks at the surplus whichever columns are asked for
+        refuse = F.raise_error(F.concat(F.lit(excess), F.col(_SURPLUS))).cast("boolean")
+        return texts.where(F.when(F.col(_SURPLUS).isNull(), F.lit(True)).otherwise(refuse)).select(
             *[_typed(c, f.dataType.simpleString()).alias(f.name) for c, f in zip(sources, wanted.fields, strict=True)]
         )
     kinds = infer_types(texts)
-    return texts.select(*[_typed(c, kinds[c]).alias(c) for c in texts.columns])
+    if (found := kinds.pop(_SURPLUS)) is not None:
+        raise ValueError(excess + found)
+    return reader.schema(plain).csv(location).select(*[_typed(c, kinds[c]).alias(c) for c in names])
 
 
 def _present(name: str) -> Column:
@@ -111,30 +116,40 @@ def _typed(name: str, kind: str) -> Column:
     return _present(name).try_cast(kind)
 
 
-def infer_types(texts: DataFrame) -> dict[str, str]:
-    """Narrowest type that holds every cell of a text column: bigint, double, boolean, else string."""
-    cells = texts.select(*[_present(c).alias(f"c_{i}") for i, c in enumerate(texts.columns)])
+def infer_types(texts: DataFrame) -> dict[str, str | None]:
+    """Narrowest type that holds every cell of a text column: bigint, double, boolean, else string.
+
+    One scan; each task keeps one mask a column. The surplus column's entry is one of its cells, or None if there is none.
+    """
+    names = [c for c in texts.columns if c != _SURPLUS]
+    cells = texts.select(*[_present(c).alias(f"c_{i}") for i, c in enumerate(names)], col(_SURPLUS))
+    # a projection of its own: inside the aggregate each look would be taken twice
+    looks = cells.select(*[_look(F.col(f"c_{i}")).alias(f"c_{i}") for i in range(len(names))], _SURPLUS)
+    row = looks.agg(
+        *[F.bit_or(f"c_{i}").alias(f"c_{i}") for i in range(len(names))], F.max(_SURPLUS).alias(_SURPLUS)
+    ).first()
+    return {c: _narrowest(row[f"c_{i}"] or 0) for i, c in enumerate(names)} | {_SURPLUS: row[_SURPLUS]}
+
+
+def _look(cell: Column) -> Column:
+    # a pattern, since a failing cast is slow and Spark would also read "1d" as a number; 18 digits always fit 64 bits
+    fraction = cell.contains(".") | cell.contains("e") | cell.contains("E")
+    whole = ~fraction & ((F.length(cell) <= 18) | cell.try_cast("bigint").isNotNull())
+    return (
+        F.when(cell.isNull(), F.lit(0))
+        .when(cell.rlike(REAL_PATTERN), F.when(whole, F.lit(WHOLE)).otherwise(F.lit(REAL)))
+        .when(cell.isin(*INFINITE_TEXTS), F.lit(REAL))
+        .when(cell.isin(*BOOLEAN_TEXTS), F.lit(BOOLEAN))
+        .otherwise(F.lit(TEXT))
+    )
 
-    def tests(cell: Column) -> Column:
-        # patterns first: a failing cast of text to double is slow, and Spark would also read "1d" as a number
-        return F.struct(
-            F.count(cell).alias("present"),
-            F.count_if(cell.rlike(WHOLE_PATTERN) & cell.try_cast("bigint").isNotNull()).alias("whole"),
-            F.count_if(cell.rlike(REAL_PATTERN) | cell.isin(*INFINITE_TEXTS)).alias("real"),
-            F.count_if(cell.isin(*BOOLEAN_TEXTS)).alias("boolean"),
-        )
 
-    row = cells.agg(*[tests(F.col(c)).alias(c) for c in cells.columns]).first()
-    kinds = {}
-    for i, c in enumerate(texts.columns):
-        r = row[f"c_{i}"]
-        if r["present"] == 0 or r["real"] == r["present"]:
-            kinds[c] = "bigint" if 0 < r["present"] == r["whole"] else "double"
-        elif r["boolean"] == r["present"]:
-            kinds[c] = "boolean"
-        else:
-            kinds[c] = "string"
-    return kinds
+def _narrowest(mask: int) -> str:
+    if mask == WHOLE:
+        return "bigint"
+    if mask | REAL | WHOLE == REAL | WHOLE:  # also a column without any cell
+        return "double"
+    return "boolean" if mask == BOOLEAN else "string"
 
 
 def write_csv(df: DataFrame, location: str, separator: str = ",", mode: str = "errorifexists") -> None:

@@ -183,3 +183,22 @@ def test_a_schema_names_every_column(spark, tmp_path):
 def test_more_lines_decide_the_separator(spark, tmp_path):
     path = put(tmp_path, "x;y\n1,5;2\n" + "3;4\n" * 3)
     assert read_csv(spark, path, sniff_lines=1).columns == ["x", "y"]
+
+
+def test_a_read_parses_only_the_columns_it_asks_for(spark, tmp_path):
+    table = read_csv(spark, put(tmp_path, "a,b,c\n1,2,x\n3,4,y\n5\n"))
+    plan = table.select("b")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<b:string>" in plan and "Filter (" not in plan
+    assert [r["b"] for r in table.orderBy("a").select("b").collect()] == [2, 4, None]
+    assert table.count() == 3
+
+
+def test_types_of_many_parts_combine(spark, tmp_path):
+    """Each file alone would give another type."""
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for i, row in enumerate(["1,1,True,7", "2,2.5,5,NA", "NA,null,False,-8", "+4,1e400,True, 9 "]):
+        put(folder, f"whole,real,mixed,spaced\n{row}\n", f"{i}.csv")
+    table = read_csv(spark, str(folder))
+    assert dict(table.dtypes) == {"whole": "bigint", "real": "double", "mixed": "string", "spaced": "bigint"}
+    assert sorted(r["whole"] for r in table.where("whole IS NOT NULL").collect()) == [1, 2, 4]
