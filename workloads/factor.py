@@ -258,9 +258,12 @@ def fa_two_varimax(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit AS (SELECT a * e AS a, c * e AS c, b * g AS b, d * g AS d FROM (SELECT *, sqrt(b * b + d * d) / abs(a * d - b * c) AS e,
              sqrt(a * a + c * c) / abs(a * d - b * c) AS g FROM fit)),
     oblique AS (SELECT variable, p * a + q * c AS p, p * b + q * d AS q,
-                -(c * d + a * b) / power(a * d - b * c, 2) AS between_factors FROM simple, unit)
-    SELECT variable, 'F1' AS component, {r('p', 'loading', 5)}, {r('between_factors', 'factor_correlation', 5)} FROM oblique
-    UNION ALL SELECT variable, 'F2', {r('q', 'loading', 5)}, {r('between_factors', 'factor_correlation', 5)} FROM oblique"""
+                -(c * d + a * b) / power(a * d - b * c, 2) AS between_factors FROM simple, unit),
+    places AS (SELECT sum(p * p) >= sum(q * q) AS in_order, sign(sum(p)) AS sp, sign(sum(q)) AS sq FROM oblique),
+    final AS (SELECT variable, CASE WHEN in_order THEN p * sp ELSE q * sq END AS p,
+              CASE WHEN in_order THEN q * sq ELSE p * sp END AS q, between_factors * sp * sq AS between_factors FROM oblique, places)
+    SELECT variable, 'F1' AS component, {r('p', 'loading', 5)}, {r('between_factors', 'factor_correlation', 5)} FROM final
+    UNION ALL SELECT variable, 'F2', {r('q', 'loading', 5)}, {r('between_factors', 'factor_correlation', 5)} FROM final"""
 )
 def fa_two_promax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two oblique factors and their correlation; the oracle fits the powered loadings with 2 x 2 algebra."""
