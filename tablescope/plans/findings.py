@@ -99,12 +99,14 @@ def closest_levels(spark: SparkSession, result: MCAResult, n_pairs: int = 10) ->
     """``(level_a, level_b, distance)``: the nearest level pairs on the kept axes, without comparing all of them.
 
     Few levels are sorted along the first axis and compared at growing steps, until even the first axis alone sets every
-    pair farther apart than those found. Levels in a table meet in the cells of a grid (``closest_pairs``); their
-    coordinates count to 12 decimals, so that levels with the same rows beside them are at one place.
+    pair farther apart than those found. Levels in a table meet in the cells of a grid (``closest_pairs``). Coordinates
+    count to 12 decimals, so that levels with the same rows beside them are at one place; ties go by name.
     """
     if result.wide is None:
         names = [f"{result.levels.variables[v]}={text}" for v, text in result.levels.names]
-        rows = [(names[i], names[j], d) for d, i, j in _sweep(result.level_coordinates, n_pairs)]
+        by_name = sorted(range(len(names)), key=names.__getitem__)
+        found = _sweep(np.round(result.level_coordinates[by_name], 12), n_pairs)
+        rows = [(names[by_name[i]], names[by_name[j]], d) for d, i, j in found]
         return small_table(spark, rows, "level_a string, level_b string, distance double")
     axis = F.struct("dim", (F.round("coordinate", 12) + F.lit(0.0)).alias("coordinate"))
     points = (
@@ -118,7 +120,7 @@ def closest_levels(spark: SparkSession, result: MCAResult, n_pairs: int = 10) ->
 
 
 def _sweep(points: np.ndarray, n_pairs: int) -> list[tuple[float, int, int]]:
-    """The closest pairs ``(distance, i, j)`` with i < j, exactly."""
+    """The closest pairs ``(distance, i, j)`` with i < j, exactly; the first of equally close ones by i and j."""
     if not len(points):
         return []
     order = np.argsort(points[:, 0], kind="stable")
@@ -129,9 +131,9 @@ def _sweep(points: np.ndarray, n_pairs: int) -> list[tuple[float, int, int]]:
         if len(best) == n_pairs and gaps[:, 0].min() > best[-1][0]:
             break
         far = np.sqrt((gaps**2).sum(axis=1))
-        for at in np.argsort(far, kind="stable")[:n_pairs]:
-            i, j = sorted((int(order[at]), int(order[at + step])))
-            best.append((float(far[at]), i, j))
+        first, second = np.minimum(order[step:], order[:-step]), np.maximum(order[step:], order[:-step])
+        for at in np.lexsort((second, first, far))[:n_pairs]:
+            best.append((float(far[at]), int(first[at]), int(second[at])))
         best = sorted(best)[:n_pairs]
     return best
 
