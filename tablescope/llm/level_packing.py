@@ -29,6 +29,8 @@ from tablescope.llm.tokens import word_ids
 
 WINDOW = 2048
 CLOSING_ID = 1
+#: text encoded at once; the numbers beside its ids take about ten times as much
+SLICE_BYTES = 2_000_000
 PIECES = (
     "doc_id {key}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
     "offset bigint"
@@ -150,7 +152,7 @@ def pack(
             )
 
         key_type = pa.int64()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             key_type = batch.schema.field("key").type
             ids, bounds = words.of_texts(batch.column("text"))
             for doc, a, b in zip(batch.column("key").to_pylist(), bounds[:-1], bounds[1:]):

@@ -1,6 +1,7 @@
 """Word-wise ids against the library, packing and separator scan as exact round trips."""
 
 import random
+import tracemalloc
 from zlib import crc32
 
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tablescope.llm import level_packing, separator_scan
-from tablescope.llm.shared import new_folder, written
+from tablescope.llm.shared import new_folder, slices, written
 from tablescope.llm.tokens import END_ID, WordIds, Words, vocabulary_path
 
 ODD = [
@@ -146,3 +147,24 @@ def test_flat_files_hold_ids_alone(spark):
     (name,) = {r.file for r in files.collect()}
     data = separator_scan.read_block(name, 0, 3, 100)
     assert data.tolist() == [*library_ids(["sun"])[0], END_ID, END_ID]
+
+
+def test_memory_of_encoding(monkeypatch):
+    """Packing encodes a large batch in parts, and words are forgotten before they take much: the worker stays small."""
+    rng = random.Random(8)
+    pool = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    texts = pa.RecordBatch.from_arrays([pa.array([" ".join(rng.choices(pool, k=1_000)) for _ in range(1_000)])], names=["text"])
+    encoder = WordIds()
+    encoder.of_words(pool)
+    tracemalloc.start()
+    for batch in slices([texts], "text", level_packing.SLICE_BYTES):
+        encoder.of_texts(batch.column("text"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    monkeypatch.setattr(encoder, "new_word", lambda w: w.encode())
+    for a in range(0, 1_200_000, 20_000):
+        encoder.of_words([f"x{i}" for i in range(a, a + 20_000)])
+    held = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert peak < 60e6 and held < 60e6
