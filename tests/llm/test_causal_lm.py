@@ -205,3 +205,31 @@ def test_context_is_learnt(spark):
         rows.append((i, " ".join(first)))
     found = L.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where("held_out").collect()
     assert sum(r.score for r in found) > 0.5 * sum(r.base_score for r in found)
+
+
+def test_all_training_texts_are_learnt_from(spark, monkeypatch):
+    """The rounds begin with a share; every window of every training text is then learnt from, held-out ones from none."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(["sun", "rain", "fog", "hail", "wind"], k=40))) for i in range(300)]
+    monkeypatch.setattr(L, "LEAST_DOCS", 1)
+    monkeypatch.setattr(L, "BATCH", 64)
+    given, seen, share, learn = [], [], L.training_windows, L.trained_on_all
+    monkeypatch.setattr(L, "training_windows", lambda *a: given.append(share(*a)) or given[-1])
+    monkeypatch.setattr(L, "trained_on_all", lambda *a: seen.append((a[0], learn(*a))) or seen[-1][1])
+    found = L.score_texts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), steps=2).collect()
+    assert len(found) == 300 and all(math.isfinite(r.score) for r in found)
+    train, parts = seen[0]
+    sizes = [len(r.ids) // 2 + 1 for r in train.collect()]
+    assert len(sizes) == sum(not r.held_out for r in found)
+    assert sum(r.windows for r in parts.collect()) == -(-sum(sizes) // L.STRIDE) > 5 * given[0].count()
+
+
+def test_a_text_beyond_the_share_changes_the_model(spark):
+    """The mean over tasks moves with every document's windows, also where several tasks learn."""
+    ids, bounds, classes = batch(["sun rain fog " * 30, "hail wind hail " * 30, "fog fog sun " * 30])
+    rows = list(enumerate(stored(ids, bounds)))
+    packed = []
+    for n in (2, 3):
+        docs = spark.createDataFrame(rows[:n], "doc_id long, ids binary").repartition(2, "doc_id")
+        packed.append(L.learn_from_all(docs, L.Attention(classes.log_share), classes).packed())
+    assert np.isfinite(packed).all() and np.abs(packed[0] - packed[1]).max() > 1e-4
