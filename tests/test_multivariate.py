@@ -397,6 +397,51 @@ def test_wide_variables_give_the_same_famd(frame, personnel, dense_levels):
     np.testing.assert_allclose(b, a, atol=1e-6)
 
 
+@pytest.mark.parametrize("full_cells", [0, 4])
+def test_blocks_of_pairs_give_the_product(spark, monkeypatch, full_cells):
+    """Full and sparse blocks, of two tasks and three columns, against indicators multiplied out; no shuffle of pairs."""
+    from tablescope.operators import level_krylov
+
+    monkeypatch.setattr(level_krylov, "FULL_CELLS", full_cells)
+    rng = np.random.default_rng(4)
+    cells = np.column_stack([rng.integers(0, k, 700) for k in (30, 11, 5)])
+    pdf = pd.DataFrame(cells, columns=list("abc")).astype(str)
+    starts = (0, 30, 41)
+    levels = [{str(i): start + i for i in range(k)} for start, k in zip(starts, (30, 11, 5))]
+    pairs = level_krylov.pair_blocks(spark.createDataFrame(pdf).repartition(2), levels)
+    assert {len(r["row"]) > 0 for r in pairs.collect()} == {full_cells == 0}
+    shown = np.zeros((700, 46))
+    for start, column in zip(starts, cells.T):
+        shown[np.arange(700), start + column] = 1
+    met = shown.T @ shown
+    for start, k in zip(starts, (30, 11, 5)):
+        met[start : start + k, start : start + k] = 0
+    t = rng.standard_normal((46, 3))
+    np.testing.assert_allclose(level_krylov.block_product(pairs, t), met @ t, atol=1e-9)
+
+
+def test_levels_too_many_to_be_sent_are_joined(frame, personnel, monkeypatch):
+    from tablescope.operators import level_krylov
+
+    names, df = ["grade", "site", "team"], frame(personnel)
+    sent = mca(df, names, dense_levels=2)
+    monkeypatch.setattr(level_krylov, "SENT_NUMBERS", 0)
+    joined = mca(df, names, dense_levels=2)
+    np.testing.assert_allclose(joined.eigenvalues, sent.eigenvalues, rtol=1e-8)
+    a, b = (r.levels_df(df.sparkSession).toPandas().sort_values(["variable", "level", "dim"]) for r in (sent, joined))
+    np.testing.assert_allclose(b["coordinate"], a["coordinate"], atol=1e-6)
+
+
+def test_a_small_file_is_dealt_to_several_tasks(spark):
+    from workloads.correspondence import CROSSED
+    from workloads.registry import derived
+
+    one = derived(spark, "/root/testdata/sf0.001", CROSSED)
+    many = derived(spark, "/root/testdata/sf0.001", CROSSED, spread="customer")
+    assert many.rdd.getNumPartitions() > one.rdd.getNumPartitions()
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
+
+
 def test_levels_that_grow_with_the_rows(spark):
     """A category of one level in three rows, with a level that holds a third of all rows."""
     df = spark.range(9000).select(
