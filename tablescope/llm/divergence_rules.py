@@ -15,7 +15,9 @@ no words, and so base_failed. Repeated rows are judged each. Other columns are n
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,9 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si",
 }
 OTHER = "other"
+#: what words may carry around them
+AROUND = r"[.,;:!?\"'()]*+"
+BLANKS = "".join(map(chr, (32, *range(9, 14))))
 CLASSES = ("lower", "upper", "digit", "blank", "symbol", "rest")
 
 LEAST_WORDS = 50
@@ -46,6 +51,20 @@ def common_words() -> Column:
     return F.coalesce(*lists, F.array().cast("array<string>"))
 
 
+def word_pattern(words: str) -> str:
+    """Finds these words in lower-cased text that begins and ends with a blank, whatever ``AROUND`` allows beside them."""
+    by_first = groupby(sorted(words.split()), key=lambda w: w[0])
+    known = "|".join(a + "(?:" + "|".join(re.escape(w[1:]) for w in rest) + ")" for a, rest in by_first)
+    return f"{SPACE_CLASS}{AROUND}({known}){AROUND}(?={SPACE_CLASS})"
+
+
+def common_hits() -> Column:
+    """Each occurrence of a common word of the row's ``language`` in its ``text``, in one pass over the text."""
+    padded = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
+    found = [F.when(F.col("language") == n, F.regexp_extract_all(padded, F.lit(word_pattern(w)), 1)) for n, w in COMMON.items()]
+    return F.coalesce(*found, F.array().cast("array<string>"))
+
+
 def text_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row of counts for each document; its text is not among them."""
     known = F.lower(F.col(lang)).isin(*COMMON)
@@ -53,8 +72,13 @@ def text_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
         F.col(key).alias("doc_id"),
         F.when(known, F.lower(F.col(lang))).otherwise(F.lit(OTHER)).alias("language"),
         as_text(text).alias("text"),
-    ).select("*", F.regexp_extract_all("text", F.lit(f"({WORD_CLASS})"), 1).alias("words"), common_words().alias("common"))
-    cased = F.transform("words", lambda w: F.lower(F.btrim(w, F.lit(".,;:!?\"'()"))))
+    )
+    inner = F.btrim("text", F.lit(BLANKS))
+    words = words.select(
+        "*",
+        F.when(inner != "", F.split(inner, f"{SPACE_CLASS}+", -1)).otherwise(F.array().cast("array<string>")).alias("words"),
+        common_words().alias("common"),
+    )
     # the places of windows whose words occur again: equal neighbours once the windows are sorted
     windows = F.when(
         F.size("words") >= 4,
@@ -72,14 +96,18 @@ def text_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     counted = words.select(
         "doc_id", "language", "common", F.size("words").cast("bigint").alias("n_words"),
         F.length("text").cast("bigint").alias("n_chars"),
-        F.regexp_count("text", F.lit(SPACE_CLASS)).cast("bigint").alias("blank"),
+        F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("bigint").alias("symbol"),
-        F.regexp_count("text", F.lit(r"\p{Ll}")).cast("bigint").alias("lower"),
+        # runs of many are fewer matches than single characters
+        F.length(F.regexp_replace("text", r"\p{Ll}+", "")).cast("bigint").alias("not_lower"),
         F.regexp_count("text", F.lit(r"\p{Lu}")).cast("bigint").alias("upper"),
         F.regexp_count("text", F.lit(r"\p{Nd}")).cast("bigint").alias("digit"),
         lines.alias("lines"), windows.alias("windows"),
-        F.filter(cased, lambda w: F.array_contains("common", w)).alias("hits"),
+        common_hits().alias("hits"),
     )
+    counted = counted.withColumns(
+        {"blank": F.col("n_chars") - F.col("word_chars"), "lower": F.col("n_chars") - F.col("not_lower")}
+    )
     n = F.size("windows")
     again = F.zip_with(
         F.slice("windows", 1, F.greatest(n - 1, F.lit(0))),
@@ -103,7 +131,7 @@ def text_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     )
     covered = F.aggregate(gaps, F.lit(0), lambda total, x: total + x)
     return placed.select(
-        "doc_id", "language", "n_words", "n_chars", (F.col("n_chars") - F.col("blank")).alias("word_chars"),
+        "doc_id", "language", "n_words", "n_chars", "word_chars",
         F.col("symbol").alias("n_symbols"), "n_dup_lines", covered.cast("bigint").alias("n_repeat_words"),
         F.array(*CLASSES).alias("class_bins"), "word_bins",
     )

@@ -49,6 +49,28 @@ def test_counts(spark):
     assert D.judge(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_classes_and_common_words_in_one_pass(spark):
+    """Histograms against Python's own, with marks around words, other blanks and letters that change when lower-cased; runs
+    and common words are matched in the text, not character by character or word by word."""
+    import unicodedata
+
+    some = ["The", "(the)", "they,", "'AND'", "x.and", "of:the", "İs", "\u212aan", "für,", "FÜR", "dass", "ß", "\xa0the", "", "."]
+    rng = random.Random(9)
+    rows = [(i, rng.choice("\t\n \x0b\x0c\r").join(rng.choices(some, k=60)), rng.choice(["en", "De", "xx", None])) for i in range(80)]
+    rows += [(100, " the the\tthe", "en"), (101, "\n", "en"), (102, "", "de"), (103, "den", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = {i: (t, (lang or "").lower()) for i, t, lang in rows}
+    for r in D.text_counts(docs).collect():
+        text, lang = texts[r.doc_id]
+        words = [w.strip(".,;:!?\"'()").lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        assert list(r.word_bins) == [words.count(w) for w in D.COMMON.get(lang, "").split()], text
+        kinds = Counter({"Ll": 0, "Lu": 1, "Nd": 2}.get(unicodedata.category(c), 3 if c in D.BLANKS else 5) for c in text)
+        kinds[4] = len(re.findall(r"[#*$%&|<>]", text))
+        assert list(r.class_bins) == [kinds[k] for k in range(4)] + [kinds[4], kinds[5] - kinds[4]]
+    plan = D.text_counts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and "p{Ll}+" in plan
+
+
 def test_distance_by_hand(spark):
     a, b = [4, 0, 6], [1, 2, 7]
     row = spark.createDataFrame([(a, b, [0, 0, 0])], "a array<bigint>, b array<bigint>, z array<bigint>")
