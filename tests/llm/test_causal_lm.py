@@ -55,6 +55,25 @@ def test_base_equals_brute_force(spark, frequent):
     assert all(math.isfinite(r.score) and r.score < 0 for r in found)
 
 
+@pytest.mark.parametrize("hold", [1, 30, 1_000_000])
+def test_words_are_counted_however_few_are_held(spark, hold):
+    rows = corpus()
+    seen = [w for _, t in rows for w in words(t or "")]
+    docs = spark.createDataFrame([(t,) for _, t in rows], "text string").repartition(3)
+    found = L.word_counts(docs, hold=hold).collect()
+    assert {r.word: r.c for r in found} == {w: seen.count(w) for w in set(seen)} and len(found) == len(set(seen))
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_sums_keep_their_type(kind):
+    """Sums of rows by number, also of numbers that do not occur, in the kind of the weights they belong to."""
+    rng = np.random.default_rng(6)
+    at, rows = rng.integers(0, 9, 50) * 2, rng.standard_normal((50, 3)).astype(kind)
+    got = L.sums_by(at, rows, 20)
+    assert got.dtype == kind
+    assert np.allclose(got, [rows[at == k].sum(axis=0) for k in range(20)], atol=1e-5)
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert L.score_texts(docs, steps=2).collect() == []

@@ -35,6 +35,18 @@ def test_word_ids_equal_those_of_whole_texts():
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == library_ids(part)
 
 
+def test_letters_are_merged_once_for_all_ends():
+    """Words that differ in case and in the signs they end in share one merge; their ids are the library's."""
+    words = ["Sun", "sun", "sun.", "SUN!?", "sun***", "été", "Été,$,", "rain'", "rain's", "x1", "<|", "\u00b5m"]
+    encoder, merged = WordIds(), []
+    merge = encoder.merge
+    encoder.merge = lambda letters: merged.append(letters) or merge(letters)
+    found = encoder.of_words(words)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == library_ids(words)
+    assert len(merged) == 3
+    assert encoder.of_words(words) == found and len(merged) == 3
+
+
 def test_words_of_texts():
     words = Words(pa.array([" a b  a\n", "", "b"]))
     found = [words.distinct[i] for i in words.index]
