@@ -44,6 +44,18 @@ def test_query_without_oracle_has_rows(spark, name):
     assert df.count() > 0
 
 
+def test_description_of_orders_that_repeat(spark, tmp_path):
+    """Customers and prices have too few values for the analyses here; all three columns are described nevertheless."""
+    copies = f"SELECT o.* REPLACE (o_orderkey + 1500 * i AS o_orderkey) FROM '{FOLDER}/orders.parquet' o, range(120) t(i)"
+    duckdb.execute(f"COPY ({copies}) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    df = queries()["audit_description"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    found = db.execute(oracle_sql()["audit_description"])
+    names = [d[0] for d in found.description]
+    assert shaped(df.columns, [tuple(r) for r in df.collect()]) == shaped(names, found.fetchall())
+
+
 def test_every_oracle_belongs_to_a_query():
     assert set(oracle_sql()) <= set(queries())
 
