@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -432,6 +433,41 @@ def test_levels_too_many_to_be_sent_are_joined(frame, personnel, monkeypatch):
     np.testing.assert_allclose(b["coordinate"], a["coordinate"], atol=1e-6)
 
 
+def test_blocks_hold_counts_in_few_bytes_and_get_no_texts(spark):
+    """300 rows of one pair do not fit a byte, single rows do; Python gets hashes of the texts."""
+    from tablescope.operators import level_krylov
+
+    levels = [{"x": 0, "y": 1}, {"u": 2, "v": 3}]
+    for rows, size in ((300, 2), (3, 1)):
+        table = spark.createDataFrame([("x", "u")] * rows + [("y", "v")], "a string, b string").coalesce(1)
+        pairs = level_krylov.pair_blocks(table, levels)
+        (block,) = pairs.collect()
+        assert np.frombuffer(bytes(block["together"]), f"<u{size}").tolist() == [rows, 0, 0, 1]
+        np.testing.assert_allclose(level_krylov.block_product(pairs, np.eye(4)), np.array(
+            [[0, 0, rows, 0], [0, 0, 0, 1], [rows, 0, 0, 0], [0, 1, 0, 0]]))
+    assert "string" not in pairs._jdf.queryExecution().analyzed().apply(1).schema().simpleString()
+    with pytest.raises(Exception, match="changed between scans"):
+        level_krylov.pair_blocks(table, [{"x": 0, "y": 1}, {"u": 2}]).collect()
+
+
+def test_batches_of_numbers(spark):
+    """More rows a batch for tables of numbers; what comes from Python keeps its batches, and settings come back."""
+    from tablescope.functions.workers import number_batches
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = [spark.conf.get(n) for n in names]
+    plain = spark.range(0, 30_000, numPartitions=1)
+    passed = plain.mapInArrow(lambda batches: batches, "id bigint")
+    for df, most in ((plain, 30_000), (passed, 10_000)):
+        with number_batches(df, 1 << 18):
+            assert max(r["n"] for r in df.mapInArrow(sizes, "n bigint").collect()) == most
+        assert [spark.conf.get(n) for n in names] == before
+
+
 def test_a_small_file_is_dealt_to_several_tasks(spark):
     from workloads.correspondence import CROSSED
     from workloads.registry import derived
