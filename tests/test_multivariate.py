@@ -450,6 +450,41 @@ def test_blocks_hold_counts_in_few_bytes_and_get_no_texts(spark):
         level_krylov.pair_blocks(table, [{"x": 0, "y": 1}, {"u": 2}]).collect()
 
 
+def test_a_seed_is_found_without_collisions(spark, monkeypatch):
+    """With the first two seeds all texts share a hash; rows and blocks must come out as ever."""
+    from tablescope.functions.columns import text_hash
+    from tablescope.operators import level_krylov, wide_levels
+
+    df = spark.range(900).select("id", (F.col("id") * 7919 % 97).alias("a"), (F.col("id") % 89).alias("b"))
+    names = ["a", "b"]
+    usual = mca(df, names, key=["id"], dense_levels=20).row_coordinates.toPandas().sort_values("id")
+    seeds = []
+
+    def colliding(text, seed):
+        seeds.append(seed)
+        return text_hash(text, seed) if seed > 1 else F.lit(1).cast("bigint")
+
+    for module in (level_krylov, wide_levels):
+        monkeypatch.setattr(module, "text_hash", colliding)
+    found = mca(df, names, key=["id"], dense_levels=20).row_coordinates.toPandas().sort_values("id")
+    assert set(seeds) == {0, 1, 2}
+    np.testing.assert_allclose(found["Dim1"].abs(), usual["Dim1"].abs(), atol=1e-5)
+
+
+def test_rows_meet_many_levels_without_a_shuffle(spark):
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        df = spark.range(900).select("id", (F.col("id") * 7919 % 97).alias("a"), (F.col("id") % 89).alias("b"))
+        rows = mca(df, ["a", "b"], key=["id"], dense_levels=20).row_coordinates
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and "Exchange hashpartitioning" not in plan
+        assert rows.count() == 900
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_batches_of_numbers(spark):
     """More rows a batch for tables of numbers; what comes from Python keeps its batches, and settings come back."""
     from tablescope.functions.workers import number_batches
